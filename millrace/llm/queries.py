@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, packing, sharding, simhash, tokencount, urlfilter
+from . import bm25, chat, hnsw, langid, mixing, packing, sharding, simhash, tokencount, urlfilter
 from .common import table
 
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -49,6 +49,21 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.is_held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 100 == 0))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,9 +71,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_simhash_near_dedup, op3_token_counts, op4_sharding, op5_packing, op6_chat_format, op7_url_filter]
+    found = [op1_mix_sources, op2_simhash_near_dedup, op3_token_counts, op4_sharding, op5_packing, op6_chat_format, op7_url_filter, op8_embedding_near_dedup, op9_language_id, op10_bm25_top_k, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_bm25_top_k": bm25.oracle()}
