@@ -1,0 +1 @@
+"""Column functions: array mathematics, text scoring and checks."""

@@ -1,0 +1 @@
+"""DataFrame operators over token and chunk rows."""

@@ -1,0 +1 @@
+"""Composed pipelines, the query catalogue and the command line."""

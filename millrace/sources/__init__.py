@@ -1,0 +1 @@
+"""Scans, schemas, configuration and metadata sources."""
