@@ -1,0 +1,103 @@
+import math
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+from millrace.operators.chunks import expand_chunk_weights_to_tokens, pool_token_scores_to_chunks
+from millrace.operators.weights import build_visual_anchor_weights, combine_weights, normalize_token_weights
+
+
+def frame(spark, rows, schema="batch_id long, pos int, score double, mask double"):
+    return spark.createDataFrame(rows, schema)
+
+
+def seq(spark, scores, mask=None, batch=0):
+    return frame(spark, [(batch, i, float(s), 1.0 if mask is None else float(mask[i])) for i, s in enumerate(scores)])
+
+
+def by_pos(df, name):
+    return [r[name] for r in sorted(df.collect(), key=lambda r: (r["batch_id"], r["pos"]))]
+
+
+def test_normalize(spark):
+    norm = lambda w, m=None: by_pos(normalize_token_weights(seq(spark, w, m), "score", mask=m and "mask"), "weight_norm")
+    assert norm([1, 3, 100], [1, 1, 0]) == pytest.approx([0.5, 1.5, 0])
+    assert norm([1, 3], [0, 0]) == [0, 0]
+    assert norm([0, 0]) == [0, 0]
+    assert sum(norm([1, 2, 3], [1, 0.5, 1])) == pytest.approx(2.5)
+    assert all(math.isnan(x) for x in norm([1, math.nan], [1, 0]))
+
+
+def test_combine(spark):
+    df = frame(spark, [(0, 0, 1.0, 3.0), (0, 1, 2.0, 4.0)])
+    get = lambda c: [r.x for r in df.select("pos", c.alias("x")).orderBy("pos").collect()]
+    assert get(combine_weights("score", "mask")) == [4, 6]
+    assert get(combine_weights("score", None, "mask", mode="product")) == [3, 8]
+    assert get(combine_weights("score", mask="mask")) == [3, 8]
+    with pytest.raises(ValueError, match="at least one"):
+        combine_weights(None, mode="nonsense")
+    with pytest.raises(ValueError, match="mode must be"):
+        combine_weights("score", mode="mean")
+
+
+def test_anchor(spark):
+    anchor = lambda s, m=None, **k: by_pos(build_visual_anchor_weights(seq(spark, s, m), mask=m and "mask", **k), "anchor_weight")
+    assert anchor([0.1, 0.9, 0.2, 0.8], topk_ratio=0.5, high_weight=3.0) == [1, 3, 1, 3]
+    assert anchor([0.1, 0.9, 0.8], [1, 0, 1], topk_ratio=0.5) == [1, 0, 2]
+    assert anchor([1, 2], [0, 0]) == [0, 0]
+    assert anchor([5, 5, 5], topk_ratio=0.5) == [2, 2, 1]  # ties by position
+    assert anchor([1, math.nan, 3], topk_ratio=0.1) == [1, 2, 1]
+    assert anchor([1, 1 + 1e-12], topk_ratio=0.5) == [2, 1]  # equal in single precision
+    assert anchor(range(100), topk_ratio=0.07).count(2.0) == 8
+    assert anchor([1, 2], [0.5, 1]) == [1, 2]  # a fractional mask is valid
+    for bad in (0, 1.5):
+        with pytest.raises(ValueError, match="topk_ratio"):
+            build_visual_anchor_weights(seq(spark, [1]), topk_ratio=bad)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.floats(-5, 5), min_size=1, max_size=30), st.floats(0.01, 1))
+def test_anchor_count_is_k(spark, scores, ratio):
+    got = by_pos(build_visual_anchor_weights(seq(spark, scores), topk_ratio=ratio), "anchor_weight")
+    assert got.count(2.0) == max(1, math.ceil(len(scores) * ratio))
+
+
+def test_anchor_shuffles_once(spark):
+    plan = build_visual_anchor_weights(seq(spark, [1, 2]), mask="mask")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+CHUNKS = "batch_id long, pos int, score double, chunk_id long"
+
+
+def pooled(spark, rows, **how):
+    return {(r.batch_id, r.chunk_id): r.chunk_score for r in pool_token_scores_to_chunks(frame(spark, rows, CHUNKS), **how).collect()}
+
+
+def test_pool(spark):
+    rows = [(0, 0, 1.0, 0), (0, 1, 3.0, 0), (0, 2, 10.0, 1), (0, 3, 4.0, -1)]
+    assert pooled(spark, rows) == {(0, 0): 2, (0, 1): 10}
+    assert pooled(spark, rows, reduce="max") == {(0, 0): 3, (0, 1): 10}
+    wide = pooled(spark, [*rows, (1, 0, 7.0, 3), (2, 0, 7.0, -1)])
+    assert {b: [wide[b, c] for c in range(4)] for b in range(3)} == {0: [2, 10, 0, 0], 1: [0, 0, 0, 7], 2: [0] * 4}
+    assert pooled(spark, [(0, 0, 1.0, -1), (1, 0, 1.0, -5)]) == {}
+    assert math.isnan(pooled(spark, [(0, 0, math.nan, 0), (0, 1, 1.0, 0)], reduce="max")[0, 0])
+    with pytest.raises(ValueError, match="reduce"):
+        pooled(spark, rows, reduce="sum")
+
+
+def test_pool_by_group_has_own_widths(spark):
+    df = frame(spark, [(0, 0, 1.0, 2), (1, 0, 1.0, 0)], CHUNKS).selectExpr("*", "batch_id as call")
+    got = {(r.call, r.chunk_id) for r in pool_token_scores_to_chunks(df, group_cols=["call"], count="n").collect()}
+    assert got == {(0, 0), (0, 1), (0, 2), (1, 0)}
+
+
+def test_expand(spark):
+    chunks = spark.createDataFrame([(0, 0, 2.0), (0, 1, 5.0)], "batch_id long, chunk_id long, weight double")
+    ids = lambda xs: frame(spark, [(0, i, 0.0, x) for i, x in enumerate(xs)], CHUNKS)
+    assert by_pos(expand_chunk_weights_to_tokens(ids([0, 1, -1, 0, 7]), chunks), "token_weight") == [2, 5, 0, 2, 0]
+    with pytest.raises(Exception, match="no such chunk: 7"):
+        expand_chunk_weights_to_tokens(ids([0, 7]), chunks, on_out_of_range="error").collect()
+    with pytest.raises(Exception, match="share batches"):
+        expand_chunk_weights_to_tokens(frame(spark, [(9, 0, 0.0, 0)], CHUNKS), chunks, strict=True).collect()
+    assert by_pos(expand_chunk_weights_to_tokens(ids([1]), chunks, strict=True), "token_weight") == [5]
