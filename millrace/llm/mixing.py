@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import P, materialize, word_count
+from .common import P, let, materialize, word_count
 
 #: Words of a block, output shards, and the most sources a catalogue may hold:
 #: a few figures for each source and output shard are planned on the driver.
@@ -90,31 +90,14 @@ def plan(sizes: dict[str | None, int], *, weights: tuple[float, ...] = (5, 2, 1)
         blocks = -(-size // block_words)
         want = min(round(target), int(cap * size))
         passes, rest = divmod(want, size) if size else (0, 0)
-        short = size // blocks if blocks else 1
-        more = -(-rest // short) if rest else 0
-        more = min(more, blocks)
-        found.append((blocks, passes * blocks + more, rest - (more - 1) * short if more else 0, target))
+        # A block has size / blocks words on average, and one more or less by rounding.
+        more = -(-rest * blocks // size) if rest else 0
+        found.append((blocks, passes * blocks + more, rest - (more - 1) * size // blocks if more else 0, target))
     counts = draw_counts([f[1] for f in found], shards, seed) if found else np.zeros((shards, 0), np.int64)
     ends = counts.cumsum(axis=0)
     return [Plan(s, size, t, b, k, last, [int(x) for x in ends[:, i]]) for i, (s, size, (b, k, last, t)) in enumerate(zip(names, sized, found, strict=True))]
 
 
-def swap_or_not_inverse(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """The slot that the permutation of 0..n-1 under ``key`` maps to ``index``.
-
-    A swap-or-not shuffle (Hoang, Morris and Rogaway): each round pairs x with
-    (k - x) mod n and swaps the two if a bit of the larger one's hash is set. Each
-    round undoes itself, so the inverse is the rounds in reverse order.
-    """
-    x = index
-    for r in reversed(range(rounds)):
-        k = F.pmod(F.xxhash64(key, F.lit(r)), n)
-        other = F.pmod(k - x, n)
-        bit = F.xxhash64(key, F.lit(r + rounds), F.greatest(x, other)).bitwiseAND(F.lit(1))
-        x = F.when(bit == 1, other).otherwise(x)
-    return x
-
-
 def permute(index: int, n: int, hash64, rounds: int = ROUNDS) -> int:
     """The forward permutation in plain Python, with ``hash64(*longs)``; for tests."""
     x = index
@@ -126,12 +109,17 @@ def permute(index: int, n: int, hash64, rounds: int = ROUNDS) -> int:
 
 
 def _inverse_fold(index: Column, n: Column, key: Column) -> Column:
-    """swap_or_not_inverse as a fold, so that the expression stays small."""
+    """The slot that the permutation of 0..n-1 under ``key`` maps to ``index``.
+
+    A swap-or-not shuffle (Hoang, Morris and Rogaway): each round pairs x with
+    (k - x) mod n and swaps the two if a bit of the larger one's hash is set. Each
+    round undoes itself, so the inverse is the rounds in reverse order.
+    """
     rounds = F.array(*[F.lit(r) for r in reversed(range(ROUNDS))])
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
-        return F.when(F.xxhash64(key, r + F.lit(ROUNDS), F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+        swapped = lambda other: F.when(F.xxhash64(key, r + F.lit(ROUNDS), F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+        return let(F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n), swapped)
 
     return F.aggregate(rounds, index, step)
 
@@ -156,14 +144,15 @@ def mix_sources(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     rows = [(p.source, p.size, p.target, p.blocks, p.slots, p.last, p.ends, zlib.crc32(f"{seed}/{p.source!r}".encode())) for p in plans]
     kind = docs.schema[source_col].dataType.simpleString()
     known = spark.createDataFrame(rows, f"s {kind}, {P}ssize long, {P}target double, {P}blocks long, {P}slots long, {P}last long, {P}ends array<long>, {P}key long").coalesce(1)
+    known = known.withColumnRenamed("s", f"{P}s")
     # Where each part starts among the source's words: PARTS rows for each source at most.
     before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = parts.select("s", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{P}first"))
-    # Both have MAX_SOURCES rows or that many times PARTS at most; Spark broadcasts them if they are small.
-    known = firsts.join(F.broadcast(known), firsts["s"].eqNullSafe(known["s"])).drop(known["s"])
+    firsts = parts.select(F.col("s").alias(f"{P}fs"), F.col("p").alias(f"{P}fp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{P}first"))
     order = Window.partitionBy(source_col, f"{P}part").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.col(id_col), "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn(f"{P}within", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    both = placed.join(known, placed[source_col].eqNullSafe(known["s"]) & (placed[f"{P}part"] == known["p"])).drop("s", "p")
+    both = placed.join(firsts, F.col(f"`{source_col}`").eqNullSafe(F.col(f"{P}fs")) & (F.col(f"{P}part") == F.col(f"{P}fp"))).drop(f"{P}fs", f"{P}fp")
+    # MAX_SOURCES rows at most, each with a count for every output shard.
+    both = both.join(F.broadcast(known), F.col(f"`{source_col}`").eqNullSafe(F.col(f"{P}s"))).drop(f"{P}s")
     c = lambda name: F.col(f"{P}{name}")
     begin, size = c("first") + c("within"), F.col("mix_size")
     # The first ``long_`` blocks have ``short + 1`` words, the others ``short``.
@@ -180,10 +169,14 @@ def mix_sources(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
         lo, hi = F.greatest(starts(block), c("begin")), F.least(starts(block + 1), c("begin") + size)
 
         def in_pass(e: Column) -> Column:
-            slot = e * c("blocks") + _inverse_fold(block, c("blocks"), F.xxhash64(c("key"), e))
+            # Bound to a variable: the permutation is worked out once for each block and pass.
+            keyed = lambda key: e * c("blocks") + _inverse_fold(block, c("blocks"), key)
+            return let(let(F.xxhash64(c("key"), e), keyed), lambda slot: taken_by(slot, e))
+
+        def taken_by(slot: Column, e: Column) -> Column:
             # Only the last slot of all takes less than its block, from the block's start on.
             end = F.when((slot == c("slots") - 1) & (c("last") > 0), F.least(hi, starts(block) + c("last"))).otherwise(hi)
-            shard = F.size(F.filter(c("ends"), lambda x: x <= slot))
+            shard = F.when(slot < c("slots"), F.size(F.filter(c("ends"), lambda x: x <= slot)))
             return F.struct(shard.alias("shard"), slot.alias("slot"), e.cast("int").alias("pass"), (lo - c("begin")).alias("start"), (end - lo).alias("length"))
 
         return F.transform(passes, in_pass)
