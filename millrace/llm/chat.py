@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import let
+
 #: The template's marks, and other strings that models take as control.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]")
@@ -35,10 +37,6 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))
 
 
-def _turn(x: Column) -> Column:
-    return F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT), escape(x["text"]), F.lit(END))
-
-
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", target_role: str = "assistant") -> DataFrame:
     """(conv_id, example, text, loss_start, loss_length, n_turns), one row for each example.
 
@@ -54,20 +52,22 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     n = F.size("turns")
-    # Positions at which examples end: every target turn, and the last turn in any case.
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (F.element_at("turns", i)["role"] == target_role) | (i == n))
-    made = chats.select("conv_id", n.alias("n_turns"), F.transform("turns", lambda x: x["role"]).alias("roles"), F.transform("turns", _turn).alias("parts"), F.transform("turns", lambda x: F.length(escape(x["text"]))).alias("lengths"), F.posexplode(ends).alias("example", "end"))
-    text = F.array_join(F.slice("parts", F.lit(1), F.col("end")), "")
-    target = F.element_at("roles", F.col("end")) == target_role
-    length = F.element_at("lengths", F.col("end"))
-    return made.select("conv_id", "example", text.alias("text"), target.alias("target"), length.alias("length"), "n_turns").select(
-        "conv_id",
-        "example",
-        "text",
-        F.when(F.col("target"), F.length("text") - len(END) - F.col("length")).alias("loss_start"),
-        F.when(F.col("target"), F.col("length")).alias("loss_length"),
-        "n_turns",
-    )
+    # Each turn is escaped once; lambda variables hold what several examples use.
+    escaped = F.transform("turns", lambda x: F.struct((x["role"] == target_role).alias("target"), escape(x["role"]).alias("role"), escape(x["text"]).alias("text")))
+    part = lambda e: F.concat(F.lit(TURN), e["role"], F.lit(TEXT), e["text"], F.lit(END))
+
+    def example(i: Column, k: Column, turns: Column, parts: Column) -> Column:
+        last, text = F.element_at(turns, i), F.array_join(F.slice(parts, F.lit(1), i), "")
+        length = F.length(last["text"])
+        made = lambda t: F.struct(k.alias("example"), t.alias("text"), F.when(last["target"], F.length(t) - len(END) - length).alias("loss_start"), F.when(last["target"], length).alias("loss_length"))
+        return let(text, made)
+
+    def examples(turns: Column) -> Column:
+        # Examples end at every target turn, and at the last turn in any case.
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(turns, i)["target"] | (i == n))
+        return let(F.transform(turns, part), lambda parts: F.transform(ends, lambda i, k: example(i, k, turns, parts)))
+
+    return chats.select("conv_id", n.alias("n_turns"), F.inline(let(escaped, examples))).select("conv_id", "example", "text", "loss_start", "loss_length", "n_turns")
 
 
 def read_turns(text: Column) -> Column:
@@ -99,12 +99,8 @@ def digest(examples: DataFrame) -> DataFrame:
         F.max_by("text", "example").alias("text"),
     )
     loss_text = F.array_join(F.transform("losses", lambda x: x["loss"]), "")
-    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return found.select("conv_id", read_turns(F.col("text")).alias("turns"), loss_text.alias("loss_text"), "formatted_chars").select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long").alias("formatted_chars"),
-    )
+    said = lambda turns: F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    read = let(read_turns(F.col("text")), lambda turns: F.struct(F.size(turns).cast("long").alias("n_turns"), F.sha2(said(turns), 256).alias("turns_sha256")))
+    heard = let(loss_text, lambda t: F.struct(F.length(t).cast("long").alias("loss_chars"), F.sha2(t, 256).alias("loss_sha256")))
+    done = found.select("conv_id", read.alias("read"), heard.alias("heard"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
+    return done.select("conv_id", "read.n_turns", "read.turns_sha256", "heard.loss_chars", "heard.loss_sha256", "formatted_chars")
