@@ -23,31 +23,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 2048
-#: Words whose ids a worker keeps, and their greatest length.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Chunks whose ids a worker keeps (about 250 MB), and their greatest length.
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 #: Open windows that a task holds; with more it closes them up. This bounds its memory.
 MAX_OPEN = 8192
 #: Sequences of one task are numbered within this many.
 TASK_IDS = 1 << 36
 
-# White space that the tokenizer drops and that Python and the library agree on.
-_CHUNK = re.compile("[^ \t\n\r]+")
+# What stands between white space that the tokenizer drops and that Python and the
+# library agree on. A plain word is cut from the punctuation after it, where a
+# pre-token ends in any case; that leaves fewer distinct chunks.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_CHUNK = re.compile(f"[{_LETTERS}]+(?=[,.;:!?])|[^ \t\n\r]+")
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself if printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
 
 
 class _Ids(dict):
-    """Ids of text between white space, as little-endian 32-bit bytes."""
+    """Ids of chunks, as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+        """A chunk of plain letters is one pre-token: its lower-cased bytes go straight
+        to the library's merges. Any other goes through the library as a whole."""
+        if _PLAIN.fullmatch(chunk):
+            low = chunk.lower()
+            mapped = low if low.isascii() else "".join(map(_BYTES.__getitem__, low.encode()))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        else:
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -55,18 +74,23 @@ class _Ids(dict):
         return ids
 
 
+def _lowered(text: str) -> str:
+    """A-Z lower-cased, as the tokenizer does anyway; not near special strings, which it looks for first."""
+    return text if "<|" in text else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 @functools.lru_cache(maxsize=2)
 def _ids(path: str) -> _Ids:
     return _Ids(path)
 
 
 def encode(text: str | None, path: str) -> bytes:
-    """The tokenizer's ids of a text, without added ones.
+    """The tokenizer's ids of a text, without added ones, as little-endian 32-bit bytes.
 
     It drops white space and no pre-token spans it, so what stands between white
     space is encoded piece by piece.
     """
-    return b"".join(map(_ids(path).__getitem__, _CHUNK.findall(text))) if text else b""
+    return b"".join(map(_ids(path).__getitem__, _CHUNK.findall(_lowered(text)))) if text else b""
 
 
 class SumOfSquares:
