@@ -30,6 +30,7 @@ AUDIT_ROWS, AUDIT_RECALL = 128, 0.995
 SLACK = 1e-4
 _STEP = 4  # nodes of a beam that are expanded at a time
 _CELLS = 16_000_000  # visited marks held at a time
+_FRONTIER = 16_384  # found pairs spread from at a time
 
 
 def _select(x: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
@@ -58,8 +59,8 @@ def _select(x: np.ndarray, base: np.ndarray, cand: np.ndarray, sims: np.ndarray,
     return out.astype(np.int32)
 
 
-def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, similarities, visited) of each query's beam, best first; -1 fills up."""
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, similarities) of each query's beam, best first; -1 fills up."""
     n, m = len(links), len(q)
     visited = np.zeros((m, n), bool)
     ids = np.full((m, width), -1, np.int32)
@@ -99,7 +100,7 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, wi
         top = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
         ids[live], sims[live], done[live] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
     order = np.argsort(-sims, axis=1, kind="stable")
-    return np.where(np.isfinite(np.take_along_axis(sims, order, 1)), np.take_along_axis(ids, order, 1), -1), np.take_along_axis(sims, order, 1), visited
+    return np.where(np.isfinite(np.take_along_axis(sims, order, 1)), np.take_along_axis(ids, order, 1), -1), np.take_along_axis(sims, order, 1)
 
 
 class Graph:
@@ -137,7 +138,7 @@ class Graph:
                     start = above._descend(x[new]) if layers else np.zeros((len(new), 1), np.int32)
                     start = np.where(start < at, start, -1)
                     start[(start < 0).all(axis=1), 0] = 0
-                    found, s, _ = _beam(x, out[:at], x[new], start, beam)
+                    found, s = _beam(x, out[:at], x[new], start, beam)
                     cand, sims = np.concatenate([cand, found], axis=1), np.concatenate([sims, s], axis=1)
                 chosen = _select(x, new, cand, np.where(cand >= 0, sims, -np.inf), links)
                 out[at:to, :links] = chosen
@@ -150,7 +151,7 @@ class Graph:
         """Entry points for the layer below this graph's layers."""
         entry = np.zeros((len(q), 1), np.int32)
         for links in reversed(self.layers):
-            entry, _, _ = _beam(self.x, links, q, entry, width)
+            entry, _ = _beam(self.x, links, q, entry, width)
         return entry
 
     def near(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +162,24 @@ class Graph:
         chunk = max(16, min(512, _CELLS // max(n, 1)))
         for i in range(0, len(q), chunk):
             some = q[i : i + chunk]
-            ids, sims, visited = _beam(self.x, links, some, upper._descend(some), min(self.width, n))
+            ids, sims = _beam(self.x, links, some, upper._descend(some), min(self.width, n))
             r, c = np.nonzero((ids >= 0) & (sims >= least))
-            found_r, found = [r], [ids[r, c]]
-            r, at = r, ids[r, c]
+            at = ids[r, c]
+            found_r, found = [r], [at]
+            # Not the beam's own marks: it has seen near ones that it had no room for.
+            visited = np.zeros((len(some), n), bool)
+            visited[r, at] = True
             while len(at):
-                key = (r[:, None].astype(np.int64) * n + links[at])[links[at] >= 0]
-                key = np.unique(key[~visited.reshape(-1)[key]])
-                visited.reshape(-1)[key] = True
-                r, at = key // n, key % n
-                s = np.concatenate([np.einsum("ij,ij->i", some[r[j : j + 65536]], self.x[at[j : j + 65536]]) for j in range(0, len(key), 65536)] or [np.zeros(0)])
-                r, at = r[s >= least], at[s >= least]
+                new_r, new = [], []
+                for j in range(0, len(at), _FRONTIER):
+                    key = (r[j : j + _FRONTIER, None].astype(np.int64) * n + links[at[j : j + _FRONTIER]])[links[at[j : j + _FRONTIER]] >= 0]
+                    key = np.unique(key[~visited.reshape(-1)[key]])
+                    visited.reshape(-1)[key] = True
+                    q_of, node = key // n, key % n
+                    ok = np.concatenate([np.einsum("ij,ij->i", some[q_of[k : k + 65536]], self.x[node[k : k + 65536]]) >= least for k in range(0, len(key), 65536)] or [np.zeros(0, bool)])
+                    new_r.append(q_of[ok])
+                    new.append(node[ok])
+                r, at = np.concatenate(new_r), np.concatenate(new)
                 found_r.append(r)
                 found.append(at)
             rows.append(np.concatenate(found_r) + i)
@@ -275,9 +283,10 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vec")
     graphs = dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, vecs binary, links array<binary>, width int")
     graphs = materialize(graphs.withColumn("threshold", F.lit(threshold)), "graphs")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    searched = graphs.select("dim", F.col("shard").alias("of"), every.alias("by"), "nodes", "vecs", "links", "width", "threshold")
-    asked = graphs.select("dim", every.alias("of"), F.col("shard").alias("by"), "nodes", "vecs")
+    # A link shows from either end, so each pair of shards meets once: the vectors of
+    # shard ``by`` are searched in the graph of every shard ``of`` up to its own number.
+    searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "vecs", "links", "width", "threshold")
+    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "vecs")
     pairs = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(_search, "a long, b long")
     pairs = materialize(pairs.distinct(), "pairs")
     labels = connected_components(pairs)
