@@ -104,3 +104,24 @@ def digest(examples: DataFrame) -> DataFrame:
     heard = let(loss_text, lambda t: F.struct(F.length(t).cast("long").alias("loss_chars"), F.sha2(t, 256).alias("loss_sha256")))
     done = found.select("conv_id", read.alias("read"), heard.alias("heard"), F.col("formatted_chars").cast("long").alias("formatted_chars"))
     return done.select("conv_id", "read.n_turns", "read.turns_sha256", "heard.loss_chars", "heard.loss_sha256", "formatted_chars")
+
+
+def oracle(more: str = "", target_role: str = "assistant") -> str:
+    """``digest`` of the formatted ``conversations``, for DuckDB; ``more`` are further rows in SQL."""
+
+    def escaped(c: str) -> str:
+        out = f"replace({c}, '\\', '\\\\')"
+        for x in CONTROL:
+            out = f"replace({out}, '{x}', '{x[0]}\\{x[1:]}')"
+        return out
+
+    order = "PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations {more}),
+o AS (SELECT *, row_number() OVER ({order}) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+             sum({len(TURN + TEXT + END)} + length({escaped("role")}) + length({escaped("text")})) OVER ({order} ROWS UNBOUNDED PRECEDING) AS prefix FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = '{target_role}' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = '{target_role}' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = '{target_role}' OR i = n THEN prefix ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id"""

@@ -102,12 +102,12 @@ def alias_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     A URL with a fragment is also an alias of itself without it.
     """
     url, html = F.col(url_col), F.col(html_col)
-    target = lambda pattern: F.when(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("http-equiv")), F.regexp_extract(html, pattern, 1))
+    # Most pages have neither word and are not searched further.
+    likely = F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("http-equiv"))
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(pattern), F.lit(1)) for pattern in (_CANONICAL, _REFRESH)])
     base = without_fragment(url)
-    links = F.array(_resolved(target(_CANONICAL), base), _resolved(target(_REFRESH), base))
-    bare = F.filter(links, lambda x: x.isNotNull() & (x != "") & (x != base))
-    linked = pages.where(url.isNotNull() & html.isNotNull()).select(base.alias("a"), F.explode(bare).alias("b"))
-    return linked
+    links = F.filter(F.transform(found, lambda x: _resolved(x, base)), lambda x: x.isNotNull() & (x != base))
+    return pages.where(url.isNotNull() & likely).select(base.alias("a"), F.explode(links).alias("b"))
 
 
 def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
@@ -134,3 +134,38 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, redirects:
     rows = rows.withColumn("r", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("alias", F.when(F.col("r").isNull(), without_fragment(F.col("u"))))
     out = rows.join(passed, "alias", "left")
     return out.select(F.col("page_id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "inherited", F.lit(default)).alias("verdict"))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, default: str = "allow") -> str:
+    """``judge_urls`` of ``pages``, for DuckDB."""
+    listed = ", ".join(f"({i}, '{r.verdict}', '{r.host}', '{r.path}')" for i, r in enumerate(rules))
+
+    def split(url: str) -> str:
+        rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
+        host = f"translate(coalesce(regexp_extract({rest}, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"{host} AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path"
+
+    return rf"""
+WITH RECURSIVE rules(i, verdict, host, path) AS (VALUES {listed}),
+base AS (SELECT page_id, url, html, split_part(url, '#', 1) AS bare FROM pages),
+tags AS (
+  SELECT bare, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag, 'link' AS kind FROM base
+  UNION ALL SELECT bare, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')), 'meta' FROM base),
+raw AS (
+  SELECT bare, replace(trim(CASE kind WHEN 'link' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END), '&amp;', '&') AS target
+  FROM tags WHERE bare IS NOT NULL AND (kind = 'link' AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') OR kind = 'meta' AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))),
+full_url AS (
+  SELECT bare AS a, split_part(CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN split_part(bare, '://', 1) || ':' || target
+    WHEN starts_with(target, '/') AND contains(bare, '://') THEN split_part(bare, '://', 1) || '://' || regexp_extract(substr(bare, strpos(bare, '://') + 3), '^([^/?#]*)', 1) || target END, '#', 1) AS b FROM raw),
+edge AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM full_url UNION ALL SELECT b, a FROM full_url) u WHERE a <> b),
+reach(v, r) AS (SELECT a, a FROM edge UNION SELECT reach.v, edge.b FROM reach JOIN edge ON reach.r = edge.a),
+member AS (SELECT v, min(r) AS root, {split("v")} FROM reach GROUP BY v),
+said AS (SELECT v, any_value(root) AS root, arg_max(rules.verdict, length(rules.host || rules.path) * 10000 - i) AS verdict
+         FROM member LEFT JOIN rules ON (member.host = rules.host OR ends_with(member.host, '.' || rules.host)) AND starts_with(member.path, rules.path) GROUP BY v),
+class AS (SELECT root, bool_or(verdict = 'allow') AS allowed, bool_or(verdict = 'block') AS blocked FROM said GROUP BY root),
+heir AS (SELECT v, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END AS verdict FROM said JOIN class USING (root)),
+page AS (SELECT row_number() OVER () AS n, page_id, bare, {split("url")} FROM base),
+ruled AS (SELECT page.n, any_value(page_id) AS page_id, any_value(bare) AS bare, any_value(page.host) AS host, any_value(page.path) AS path,
+                 arg_max(rules.host || rules.path, length(rules.host || rules.path) * 10000 - i) AS rule, arg_max(rules.verdict, length(rules.host || rules.path) * 10000 - i) AS verdict
+          FROM page LEFT JOIN rules ON (page.host = rules.host OR ends_with(page.host, '.' || rules.host)) AND starts_with(page.path, rules.path) GROUP BY page.n)
+SELECT page_id, host, path, rule, coalesce(ruled.verdict, heir.verdict, '{default}') AS verdict FROM ruled LEFT JOIN heir ON heir.v = ruled.bare"""

@@ -1,0 +1,186 @@
+"""Token counts, packing and sharding."""
+
+import collections
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from millrace.llm import packing, sharding, tokencount
+
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+SP = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+TK = Tokenizer.from_file(WORDS)
+#: Text that tokenizers find hard, mixed by hypothesis.
+BITS = st.sampled_from(["▁", " ", "  ", "\t", "\n", " ", " ", "\x1c", "\x85", "\x00", "<s>", "</s>", "<unk>", "<0x0A>", "<|endoftext|>", "<|startoftext|>", "the", "The", "'s", "don't", "日本", "é", "é", "İ", "ẞ", "ς", "Σ", "1234", "...", "😀", "ﬁ", "﻿", "​", "aaaa", "Å", "́", "가", "가"])
+TEXTS = st.lists(st.one_of(BITS, st.text(max_size=4)), max_size=12).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXTS)
+def test_counts_equal_the_library(text):
+    assert tokencount.count_tokens(text, PIECES) == len(SP.encode(text))
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXTS)
+def test_ids_equal_the_library(text):
+    assert np.frombuffer(packing.encode(text, WORDS), "<u4").tolist() == TK.encode(text, add_special_tokens=False).ids
+
+
+def test_whole_tokens_are_single():
+    whole = tokencount.whole_tokens(PIECES)
+    assert len(whole) > 10_000
+    for piece in sorted(whole)[::97]:
+        assert len(SP.encode("x " + piece[1:])) == len(SP.encode("x")) + 1
+
+
+def test_token_counts(odd_docs, no_docs):
+    rows = tokencount.token_counts(odd_docs, PIECES, limit=100).collect()
+    key = lambda doc, text: (str(doc), len((text or "").encode()), len(SP.encode(text or "")))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == sorted(key(r.doc_id, r.text) for r in odd_docs.collect())
+    assert all(r.over_limit == (r.n_tokens > 100) for r in rows)
+    assert tokencount.token_counts(no_docs, PIECES).count() == 0
+    with pytest.raises(ValueError):
+        tokencount.check_model(_Crossing.path)
+
+
+class _Crossing:
+    path = "/nowhere.model"
+
+
+@pytest.fixture(autouse=True)
+def crossing(monkeypatch):
+    """A stand-in model one of whose pieces crosses a word boundary."""
+
+    class Model:
+        def get_piece_size(self):
+            return 1
+
+        def id_to_piece(self, i):
+            return "a▁b"
+
+    real = tokencount.load
+    monkeypatch.setattr(tokencount, "load", lambda p: Model() if p == _Crossing.path else real(p))
+
+
+def check_pieces(rows, docs):
+    """Each id in one piece, each sequence gapless and within its length."""
+    pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id, r.doc_tokens].append(r)
+        sequences[r.sequence_id].append(r)
+    want = collections.Counter()
+    for d in docs:
+        ids = TK.encode(d.text or "", add_special_tokens=False).ids + [1]
+        want[d.doc_id, tuple(ids)] += 1
+    for (doc, ids), copies in want.items():
+        found = collections.Counter((p.start, p.length, p.ids_crc32) for p in pieces[doc, len(ids)])
+        covered = np.zeros(len(ids), int)
+        for (start, length, crc), n in found.items():
+            part = np.array(ids[start : start + length], dtype="<u4")
+            assert len(part) == length and crc == zlib.crc32(part.tobytes())
+            covered[start : start + length] += n
+        assert (covered == copies).all()
+    for s in sequences.values():
+        at = 0
+        for p in sorted(s, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
+    used = sum(r.length for r in rows)
+    return 1 - used / (2048 * len(sequences)) if sequences else 0
+
+
+def test_packing(odd_docs, no_docs):
+    docs = odd_docs.coalesce(1)
+    assert check_pieces(packing.pack(docs, WORDS).collect(), docs.collect()) < 0.1
+    check_pieces(packing.pack(odd_docs.repartition(4), WORDS).collect(), odd_docs.collect())
+    assert packing.pack(no_docs, WORDS).count() == 0
+
+
+def test_open_windows_are_bounded(odd_docs, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_OPEN", 2)
+    rows = packing.pack(odd_docs.union(odd_docs).coalesce(1), WORDS).collect()
+    check_pieces(rows, odd_docs.union(odd_docs).collect())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 300), max_size=80), st.sampled_from([16, 100]))
+def test_pack_lengths(lengths, window):
+    got = packing.pack_lengths(lengths, window)
+    used, cover = collections.defaultdict(list), [np.zeros(n, int) for n in lengths]
+    for doc, start, length, at, offset in got:
+        cover[doc][start : start + length] += 1
+        used[at].append((offset, length))
+    assert all((c == 1).all() for c in cover)
+    short = 0
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= window
+        short += at < window
+    assert short <= 1
+
+
+def test_placement_is_the_least_sum_of_squares():
+    rng = np.random.default_rng(2)
+    p = packing.SumOfSquares(20)
+    for s in rng.integers(1, 20, 400):
+        before = p.count.copy()
+        options = {}
+        for level in [0, *np.flatnonzero(before[: 20 - s + 1])]:
+            n = before.copy()
+            if level:
+                n[level] -= 1
+            if level + s < 20:
+                n[level + s] += 1
+            options[int(level)] = int((n[:20] ** 2).sum())
+        _, level = p.place(int(s))
+        assert options[level] == min(options.values())
+        assert (p.count[:20] ** 2).sum() == options[level] and p.count[20] == 0
+
+
+def jump(key, n):
+    """The published loop."""
+    key, b, j = key % 2**64, -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k")).union(spark.sql("select explode(array(0L, -1L, 9223372036854775807L, -9223372036854775808L))"))
+    for n in (1, 2, 40, 41):
+        for r in keys.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect():
+            assert r.s == jump(r.k, n)
+    with pytest.raises(ValueError):
+        sharding.jump_hash(F.col("k"), 0)
+
+
+def test_shards(spark, odd_docs, no_docs):
+    more = spark.range(1000).selectExpr("id + 1000 as doc_id", "cast(id as string) as text")
+    docs = odd_docs.select("doc_id", "text").union(more)
+    rows = sharding.shard_by_key(docs, 40).collect()
+    assert len(rows) == docs.count()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 40) and r.law == "key" and 0 <= r.shard < 40
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(slots) == 40
+    want = sorted((str(d.doc_id), len((d.text or "").encode()) + 16, zlib.crc32((d.text or "").encode())) for d in docs.collect())
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == want
+    assert 5 < sum(r.grown_shard == 40 for r in rows) < 60
+    assert len({r.shard for r in rows if r.doc_id == 2}) == 1  # repeated rows share a shard
+    assert sharding.shard_by_key(odd_docs).count() == odd_docs.count() and sharding.shard_by_key(no_docs).count() == 0
+    plan = sharding.shard_by_key(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
