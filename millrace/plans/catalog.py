@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import WS, exact_match, normalize_answer
+from ..operators.align import align_tokens
 from ..operators.chunks import expand_chunk_weights_to_tokens, pool_token_scores_to_chunks
 from ..operators.losses import EPS, dual_track_opd_loss, kl_divergence_from_logits, masked_weighted_kl
 from ..operators.weights import build_visual_anchor_weights, combine_weights, normalize_token_weights
@@ -99,6 +100,14 @@ for _how, _agg in (("mean", "avg"), ("sum", "sum")):
     _add(f"kl_{_how}", f"WITH {_kl_sql()} SELECT round({_agg}(kl), 6) AS kl FROM k")(lambda spark, d, how=_how: _rounded(kl_divergence_from_logits(tokens(spark, d), reduction=how), "kl"))
 
 
+@_add("aligned_tokens", f"WITH {_kl_sql()} SELECT batch_id, pos, text_weight, round(kl, 6) AS kl FROM k")
+def aligned_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Logits and weights as two frames, aligned by position."""
+    t = tokens(spark, d)
+    aligned = align_tokens(t.select("batch_id", "pos", "student", "teacher"), t.select("batch_id", "pos", "text_weight"))
+    return _rounded(kl_divergence_from_logits(aligned).select("batch_id", "pos", "text_weight", "kl"), "kl")
+
+
 def _loss(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: _rounded(f(tokens(spark, d)), "loss")
 
