@@ -12,6 +12,8 @@ the threshold are united into components.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -154,11 +156,10 @@ class Graph:
             entry, _ = _beam(self.x, links, q, entry, width)
         return entry
 
-    def near(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of what is found at or above ``least``."""
+    def near(self, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, node) of what is found at or above ``least``, for some queries at a time."""
         upper = Graph(self.x, self.layers[1:])
         links, n = self.layers[0], len(self.x)
-        rows, nodes = [], []
         chunk = max(16, min(512, _CELLS // max(n, 1)))
         for i in range(0, len(q), chunk):
             some = q[i : i + chunk]
@@ -182,17 +183,14 @@ class Graph:
                 r, at = np.concatenate(new_r), np.concatenate(new)
                 found_r.append(r)
                 found.append(at)
-            rows.append(np.concatenate(found_r) + i)
-            nodes.append(np.concatenate(found))
-        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(nodes or [np.zeros(0, int)])
+            yield np.concatenate(found_r) + i, np.concatenate(found)
 
     def audit(self, least: float, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL) -> None:
         """Widen the beam until searches of evenly spread nodes find what brute force finds."""
         pick = np.unique(np.linspace(0, len(self.x) - 1, min(rows, len(self.x))).astype(int))
         true = [np.flatnonzero(self.x[p] @ self.x.T >= least) for p in pick]
         while self.width < len(self.x):
-            r, node = self.near(self.x[pick], least)
-            found = set(zip(r.tolist(), node.tolist(), strict=True))
+            found = {x for r, node in self.near(self.x[pick], least) for x in zip(r.tolist(), node.tolist(), strict=True)}
             hits = sum((i, int(t)) in found for i, ts in enumerate(true) for t in ts)
             if hits >= recall * sum(map(len, true)):
                 return
@@ -238,29 +236,61 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     nodes, vecs = nodes[order], vecs[order]
     graph = Graph.build(_unit(vecs).astype(np.float32))
     graph.audit(THRESHOLD - SLACK)
-    return pd.DataFrame({"dim": [vecs.shape[1]], "shard": [pdf["shard"].iloc[0]], "nodes": [nodes.tobytes()], "vecs": [vecs.tobytes()], "links": [[a.tobytes() for a in graph.layers]], "width": [graph.width]})
+    return pd.DataFrame({"dim": [vecs.shape[1]], "shard": [pdf["shard"].iloc[0]], "nodes": [nodes.tobytes()], "copies": [pdf["n"].to_numpy(np.int64)[order].tobytes()], "vecs": [vecs.tobytes()], "links": [[a.tobytes() for a in graph.layers]], "width": [graph.width]})
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lower the labels, in place, until both ends of every edge (a, b) have one label."""
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
 
 
 def _search(key: tuple, graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one shard's vectors with another shard's graph."""
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    """Links of one shard's vectors with another shard's: (node, links, root).
+
+    A row for each node with links: how many rows they stand for, and a node that it
+    is connected with here. So what leaves the task grows with the nodes, not with
+    the pairs.
+    """
+    none = pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
     if not len(graphs) or not len(asked):
         return none
-    dim, threshold = int(key[0]), float(graphs["threshold"].iloc[0])
-    read = lambda row: (np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["vecs"], np.float64).reshape(-1, dim))
+    dim, of, by = (int(k) for k in key)
     g, other = graphs.iloc[0], asked.iloc[0]
-    nodes, vecs = read(g)
-    asked_nodes, asked_vecs = read(other)
+    threshold = float(g["threshold"])
+    read = lambda row: (np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), _unit(np.frombuffer(row["vecs"], np.float64).reshape(-1, dim)))
+    nodes, copies, x = read(g)
+    asked_nodes, asked_copies, y = read(other)
     sizes = [len(nodes)]
     while sizes[-1] > 2 * LINKS:
         sizes.append(max(1, sizes[-1] // LINKS))
     layers = [np.frombuffer(b, np.int32).reshape(n, -1) for b, n in zip(g["links"], sizes, strict=True)]
-    x, y = _unit(vecs), _unit(asked_vecs)
-    r, at = Graph(x.astype(np.float32), layers, int(g["width"])).near(y.astype(np.float32), threshold - SLACK)
-    keep = np.concatenate([np.einsum("ij,ij->i", y[r[i : i + 65536]], x[at[i : i + 65536]]) >= threshold for i in range(0, len(r), 65536)] or [np.zeros(0, bool)])
-    a, b = asked_nodes[r[keep]], nodes[at[keep]]
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    return pd.DataFrame({"a": a, "b": b})[a != b]
+    graph = Graph(x.astype(np.float32), layers, int(g["width"]))
+    n, m, same = len(nodes), len(asked_nodes), of == by
+    label, links, asked_links = np.arange(n + m), np.zeros(n), np.zeros(m)
+    for r, at in graph.near(y.astype(np.float32), threshold - SLACK):
+        keep = np.concatenate([np.einsum("ij,ij->i", y[r[i : i + 65536]], x[at[i : i + 65536]]) >= threshold for i in range(0, len(r), 65536)] or [np.zeros(0, bool)])
+        if same:  # both have one order; each pair counts from its later end
+            keep &= at < r
+        r, at = r[keep], at[keep]
+        asked_links += np.bincount(r, weights=copies[at], minlength=m)
+        links += np.bincount(at, weights=asked_copies[r], minlength=n)
+        _merge(label, at, r if same else n + r)
+    if same:
+        links, label, ids = links + asked_links, label[:n], nodes
+    else:
+        links, ids = np.concatenate([links, asked_links]), np.concatenate([nodes, asked_nodes])
+    has = np.flatnonzero(links)
+    return pd.DataFrame({"node": ids[has], "links": links[has].astype(np.int64), "root": ids[label[has]]})
 
 
 def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -280,18 +310,17 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     # A written table fixes the node numbers, whatever tasks are run again later.
     distinct = materialize(good.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     shards = max(MIN_SHARDS, -(-distinct.count() // SHARD_ROWS))
-    dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "vec")
-    graphs = dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, vecs binary, links array<binary>, width int")
+    dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "n", "vec")
+    graphs = dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, copies binary, vecs binary, links array<binary>, width int")
     graphs = materialize(graphs.withColumn("threshold", F.lit(threshold)), "graphs")
     # A link shows from either end, so each pair of shards meets once: the vectors of
     # shard ``by`` are searched in the graph of every shard ``of`` up to its own number.
-    searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "vecs", "links", "width", "threshold")
-    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "vecs")
-    pairs = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(_search, "a long, b long")
-    pairs = materialize(pairs.distinct(), "pairs")
-    labels = connected_components(pairs)
-    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
-    linked = both.join(distinct.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("links"))
+    searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "copies", "vecs", "links", "width", "threshold")
+    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "copies", "vecs")
+    found = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(_search, "node long, links long, root long")
+    found = materialize(found, "links")
+    labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "n", "least").join(labels.select(F.col("v").alias("node"), "root"), "node", "left").join(linked, "node", "left")
     named = materialize(named.select("node", "least", F.coalesce("root", "node").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named")
     least = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "least")
