@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
 TRAIN_ROWS = 6000
 #: Hashed n-grams, their lengths, and the most languages that are told apart.
-BUCKETS, ORDERS, MAX_LANGS = 1 << 16, (1, 2, 3, 4), 500
+BUCKETS, ORDERS, MAX_LANGS = 1 << 16, (1, 2, 3, 4), 200
 SWITCH_PENALTY = 12.0
 UNDETERMINED = "und"
 
