@@ -1,0 +1,40 @@
+import json
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__
+from millrace.plans import catalog
+
+ROOT = Path(__file__).resolve().parents[1]
+DATA = os.environ.get("MILLRACE_TEST_DATA", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+def test_contract(spark):
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(catalog.QUERIES) <= set(queries) and set(sql) <= set(queries)
+    assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_scans_read_only_what_they_need(spark):
+    plan = catalog.QUERIES["kl_sum"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "label" not in plan
+    plan = catalog.QUERIES["anchor_topk_10"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "role" not in plan
+
+
+def test_library_does_not_need_the_optional_part():
+    code = "import sys; sys.modules['millrace.llm'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    assert int(out) == len(catalog.QUERIES)
+
+
+def test_bench_prints_one_json_line():
+    env = os.environ | {"BENCH_SF_DIR": DATA, "BENCH_CPUS": "2", "BENCH_QUERIES": "weights_sum,runs_count"}
+    out = subprocess.run([sys.executable, "bench.py"], cwd=ROOT, env=env, capture_output=True, text=True, check=True, timeout=300).stdout
+    line = json.loads(out.strip().splitlines()[-1])
+    assert line["unit"] == "sec" and set(line["queries"]) == {"weights_sum", "runs_count"} and line["sf"] == 0.001
