@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
@@ -262,11 +263,12 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     model = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for i in range(0, len(texts), 256):
-            out += [x[0] != UNDETERMINED and x[1] >= share for x in label_texts(list(texts.iloc[i : i + 256]), known.value)]
-        return pd.Series(out, dtype=bool)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Whole rows pass through as they are; nothing is queued for them in the JVM.
+        for b in batches:
+            texts = b.column(text_col)
+            for i in range(0, b.num_rows, 256):
+                keep = [x[0] != UNDETERMINED and x[1] >= share for x in label_texts(texts.slice(i, 256).to_pylist(), known.value)]
+                yield b.slice(i, 256).filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(good(F.col(text_col)))
+    return docs.mapInArrow(good, docs.schema)
