@@ -4,7 +4,7 @@ Everything is an expression or a DataFrame transformation; nothing runs until th
 caller acts on the result.
 """
 
-from .operators.losses import dual_track_opd_loss, kl_divergence_from_logits, masked_weighted_kl
+from .operators.losses import dual_track_loss, kl_divergence_from_logits, masked_weighted_kl
 
 __version__ = "0.1.0"
-__all__ = ["__version__", "dual_track_opd_loss", "kl_divergence_from_logits", "masked_weighted_kl"]
+__all__ = ["__version__", "dual_track_loss", "kl_divergence_from_logits", "masked_weighted_kl"]

@@ -76,7 +76,7 @@ def masked_weighted_kl(tokens: DataFrame, student: str = "student", teacher: str
     return sums.select(*group_cols, loss.alias(out))
 
 
-def dual_track_opd_loss(tokens: DataFrame, student: str = "student", teacher: str = "teacher", *, text_weights: str | None = None, vision_weights: str | None = None, mask: str | None = None, alpha_text: float = 1.0, alpha_vision: float = 1.0, temperature: float = 1.0, group_cols: Sequence[str] = (), out: str = "loss", engine: str = "native") -> DataFrame:
+def dual_track_loss(tokens: DataFrame, student: str = "student", teacher: str = "teacher", *, text_weights: str | None = None, vision_weights: str | None = None, mask: str | None = None, alpha_text: float = 1.0, alpha_vision: float = 1.0, temperature: float = 1.0, group_cols: Sequence[str] = (), out: str = "loss", engine: str = "native") -> DataFrame:
     """The masked KL under the scaled sum of text and vision weights.
 
     With weights the mask enters twice, once when they are combined and once in the

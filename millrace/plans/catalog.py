@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import WS, exact_match, normalize_answer
 from ..operators.align import align_tokens
 from ..operators.chunks import expand_chunk_weights_to_tokens, pool_token_scores_to_chunks
-from ..operators.losses import EPS, dual_track_opd_loss, kl_divergence_from_logits, masked_weighted_kl
+from ..operators.losses import EPS, dual_track_loss, kl_divergence_from_logits, masked_weighted_kl
 from ..operators.weights import build_visual_anchor_weights, combine_weights, normalize_token_weights
 from ..sources.jsonl import count_keys, non_blank, parse_lines, summarize
 from ..sources.metadata import env_report, git_state
@@ -124,12 +124,12 @@ _add("wkl_norm", _eff_sql("soft_mask * text_weight"))(_loss(lambda t: masked_wei
 _add("wkl_mask_denom", _loss_sql("sum(kl * soft_mask * text_weight)", f"greatest(sum(soft_mask), {EPS!r})"))(_loss(lambda t: masked_weighted_kl(t, mask="soft_mask", weights="text_weight", normalize_weights=False)))
 _add("wkl_numel_denom", _loss_sql("sum(kl * text_weight)", "count(*)"))(_loss(lambda t: masked_weighted_kl(t, weights="text_weight", normalize_weights=False)))
 _add("wkl_by_batch", f"WITH {_kl_sql()} SELECT batch_id, round(sum(kl * mask * text_weight) / greatest(sum(mask * text_weight), {EPS!r}), 6) AS loss FROM k GROUP BY batch_id")(_loss(lambda t: masked_weighted_kl(t, mask="mask", weights="text_weight", group_cols=["batch_id"])))
-_add("dual_none", _eff_sql("mask"))(_loss(lambda t: dual_track_opd_loss(t, mask="mask", alpha_text=3.0)))
-_add("dual_text", _eff_sql("mask * text_weight"))(_loss(lambda t: dual_track_opd_loss(t, text_weights="text_weight", mask="mask")))
-_add("dual_vision", _eff_sql("mask * vision_weight"))(_loss(lambda t: dual_track_opd_loss(t, vision_weights="vision_weight", mask="mask")))
+_add("dual_none", _eff_sql("mask"))(_loss(lambda t: dual_track_loss(t, mask="mask", alpha_text=3.0)))
+_add("dual_text", _eff_sql("mask * text_weight"))(_loss(lambda t: dual_track_loss(t, text_weights="text_weight", mask="mask")))
+_add("dual_vision", _eff_sql("mask * vision_weight"))(_loss(lambda t: dual_track_loss(t, vision_weights="vision_weight", mask="mask")))
 _BOTH = "(text_weight + 0.5 * vision_weight)"
-_add("dual_both", _eff_sql(f"mask * {_BOTH}"))(_loss(lambda t: dual_track_opd_loss(t, text_weights="text_weight", vision_weights="vision_weight", mask="mask", alpha_vision=0.5)))
-_add("dual_both_fractional_mask", _eff_sql(f"soft_mask * soft_mask * {_BOTH}"))(_loss(lambda t: dual_track_opd_loss(t, text_weights="text_weight", vision_weights="vision_weight", mask="soft_mask", alpha_vision=0.5)))
+_add("dual_both", _eff_sql(f"mask * {_BOTH}"))(_loss(lambda t: dual_track_loss(t, text_weights="text_weight", vision_weights="vision_weight", mask="mask", alpha_vision=0.5)))
+_add("dual_both_fractional_mask", _eff_sql(f"soft_mask * soft_mask * {_BOTH}"))(_loss(lambda t: dual_track_loss(t, text_weights="text_weight", vision_weights="vision_weight", mask="soft_mask", alpha_vision=0.5)))
 
 _add("exp_000", _eff_sql(f"mask * {_BOTH}"))(_loss(EXPERIMENTS["000"]))
 _add("exp_010", _eff_sql("mask"))(_loss(EXPERIMENTS["010"]))

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from millrace import dual_track_opd_loss, kl_divergence_from_logits, masked_weighted_kl
+from millrace import dual_track_loss, kl_divergence_from_logits, masked_weighted_kl
 
 K = 0.6901289731433179  # KL of token 0
 SCHEMA = "batch_id long, pos int, student array<double>, teacher array<double>, mask double, w double"
@@ -82,11 +82,11 @@ def test_masked_weighted(pair):
 
 
 def test_dual_track_squares_the_mask(pair):
-    assert value(dual_track_opd_loss(pair, text_weights="w", mask="mask")) == pytest.approx(2 * K / 2.75)
-    assert value(dual_track_opd_loss(pair, mask="mask", alpha_text=7.0)) == pytest.approx(K / 1.5)
-    assert value(dual_track_opd_loss(pair, text_weights="w", alpha_text=0.0)) == 0
-    both = dual_track_opd_loss(pair, text_weights="w", vision_weights="w", alpha_vision=3.0)
-    assert value(both) == pytest.approx(value(dual_track_opd_loss(pair, text_weights="w")))
+    assert value(dual_track_loss(pair, text_weights="w", mask="mask")) == pytest.approx(2 * K / 2.75)
+    assert value(dual_track_loss(pair, mask="mask", alpha_text=7.0)) == pytest.approx(K / 1.5)
+    assert value(dual_track_loss(pair, text_weights="w", alpha_text=0.0)) == 0
+    both = dual_track_loss(pair, text_weights="w", vision_weights="w", alpha_vision=3.0)
+    assert value(both) == pytest.approx(value(dual_track_loss(pair, text_weights="w")))
 
 
 def test_groups(spark, pair):
@@ -112,5 +112,5 @@ def test_checks(spark, pair):
 
 
 def test_plan_has_one_exchange_and_no_python(pair):
-    plan = dual_track_opd_loss(pair, text_weights="w", mask="mask")._jdf.queryExecution().executedPlan().toString()
+    plan = dual_track_loss(pair, text_weights="w", mask="mask")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange") == 1 and "Join" not in plan
