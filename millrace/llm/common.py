@@ -32,12 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a written table for each of its files, and files at least, where the rows are known.
+FILE_ROWS, MIN_FILES = 200_000, 8
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Lost executors cannot take the rows with them. The files go at exit.
+    Lost executors cannot take the rows with them. The files go at exit. ``rows``
+    bounds the number of rows: small tables are then written in few files, however
+    many partitions they come from.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(MIN_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if not _written:

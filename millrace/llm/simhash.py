@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, materialize
+from .common import materialize
 from .components import connected_components
 
 RADIUS, BITS = 2, 64
@@ -43,14 +43,14 @@ def _signed(x: int) -> int:
 
 
 def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Fingerprint of a lower-cased text in UTF-8; 0 if it has no words.
+    """Fingerprint of a text in UTF-8, A-Z lower-cased; 0 if it has no words.
 
     Shingles count as often as they occur. With fewer words than a shingle, the
     whole sequence is the only one. A bit is set if it is in over half the hashes.
     """
     import xxhash
 
-    words = text.split()  # of bytes: splits at space and U+0009..U+000D
+    words = text.lower().split()  # of bytes: A-Z only, and at space and U+0009..U+000D
     if not words:
         return 0
     flat = b" ".join(words)
@@ -79,8 +79,8 @@ def fingerprints(docs: DataFrame, keep: list[str], *, text_col: str = "text", sh
             fp = np.array([simhash(t.encode("utf-8", "surrogatepass") if t else b"", shingle) for t in b.pop("__mr_text")], dtype=np.uint64)
             yield b.assign(__mr_fp=fp.astype(np.int64))
 
-    lowered = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.select(*[F.col(f"`{c}`").cast("string") for c in keep], lowered.alias("__mr_text")).mapInPandas(hashed, f"{fields}, __mr_fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = docs.select(*[F.col(f"`{c}`").cast("string") for c in keep], text.alias("__mr_text")).mapInPandas(hashed, f"{fields}, __mr_fp long")
     return out.select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in keep], F.col("__mr_fp").alias("fp"))
 
 
@@ -88,8 +88,8 @@ def _bits_apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join the distinct fingerprints ``fp`` within the radius.
+def links(fps: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) that join the ``n`` distinct fingerprints ``fp`` within the radius.
 
     Two fingerprints at up to 2 differing bits are in one connected component of
     these edges, and every edge lies within a chain of such links.
@@ -98,9 +98,9 @@ def links(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
     tables = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k")
     # Map-side partial counts bound what a hot bucket sends; sizes first, members after.
-    sizes = materialize(tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    sizes = materialize(tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets", n * len(masks))
     # Written before it is grouped, so that this join's hot partitions can be split.
-    members = materialize(tables.join(sizes, ["t", "k"]), "members")
+    members = materialize(tables.join(sizes, ["t", "k"]), "members", n * len(masks))
     small = members.where(F.col("n") <= SMALL_BUCKET).groupBy("t", "k").agg(F.array_sort(F.collect_list("fp")).alias("m"))
     pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
     near = pairs.where(_bits_apart("a", "b") <= RADIUS)
@@ -122,13 +122,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Other columns are ignored.
     """
     rows = materialize(fingerprints(docs, [id_col], text_col=text_col, shingle=shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    labels = connected_components(links(fps))
+    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", rows.count())
+    n = fps.count()  # like the one before, from the files' footers
+    # A fingerprint has SMALL_BUCKET links a table at most, and those of its star.
+    labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
     named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", n)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(least, "least")
-    classes = materialize(named.join(of, "root").select("fp", "component_id"), "classes")
+    of = materialize(least, "least", n)
+    classes = materialize(named.join(of, "root").select("fp", "component_id"), "classes", n)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(F.col(id_col), text.alias("fingerprint"), "component_id")
 
@@ -141,5 +143,5 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     # The key stands for null ids too; text is shuffled once, for the join and the grouping.
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    kept = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__mr_key")).distinct(), "kept")
+    kept = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__mr_key")).distinct(), "kept", docs.count())
     return docs.withColumn("__mr_key", key).join(kept, "__mr_key", "left_semi").dropDuplicates(["__mr_key"]).drop("__mr_key")

@@ -68,7 +68,7 @@ def test_links_against_brute_force(spark, monkeypatch):
         for i in range(0, 40, 2):
             fps.add(chain := chain ^ (1 << i) ^ (1 << (i + 1)))
         df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
-        found = [(x.a % 2**64, x.b % 2**64) for x in simhash.links(df).collect()]
+        found = [(x.a % 2**64, x.b % 2**64) for x in simhash.links(df, len(fps)).collect()]
         true = [(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 2]
         assert components(found, fps) == components(true, fps)
 
