@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 2048
-#: Chunks whose ids a worker keeps (about 250 MB), and their greatest length.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+#: Chunks whose ids a worker keeps (about 170 MB), and their greatest length.
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
 #: Open windows that a task holds; with more it closes them up. This bounds its memory.
 MAX_OPEN = 8192
 #: Sequences of one task are numbered within this many.
