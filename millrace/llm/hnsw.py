@@ -309,7 +309,8 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     good = src.where(is_usable(F.col("vec")))
     # A written table fixes the node numbers, whatever tasks are run again later.
     distinct = materialize(good.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    shards = max(MIN_SHARDS, -(-distinct.count() // SHARD_ROWS))
+    n = distinct.count()  # from the files' footers
+    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
     dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "n", "vec")
     graphs = dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, copies binary, vecs binary, links array<binary>, width int")
     graphs = materialize(graphs.withColumn("threshold", F.lit(threshold)), "graphs")
@@ -318,14 +319,14 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "copies", "vecs", "links", "width", "threshold")
     asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "copies", "vecs")
     found = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(_search, "node long, links long, root long")
-    found = materialize(found, "links")
-    labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = materialize(found, "links", n * shards)
+    labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), n * shards)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = distinct.select("node", "n", "least").join(labels.select(F.col("v").alias("node"), "root"), "node", "left").join(linked, "node", "left")
-    named = materialize(named.select("node", "least", F.coalesce("root", "node").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named")
-    least = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "least")
+    named = materialize(named.select("node", "least", F.coalesce("root", "node").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named", n)
+    least = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "least", n)
     classes = named.join(least, "root").select("node", "links", "component")
-    classes = materialize(distinct.select("node", "vec").join(classes, "node").select("vec", "links", "component"), "classes")
+    classes = materialize(distinct.select("node", "vec").join(classes, "node").select("vec", "links", "component"), "classes", n)
     out = src.withColumn("vec", F.when(is_usable(F.col("vec")), F.col("vec"))).join(classes, "vec", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
