@@ -38,3 +38,18 @@ def test_bench_prints_one_json_line():
     out = subprocess.run([sys.executable, "bench.py"], cwd=ROOT, env=env, capture_output=True, text=True, check=True, timeout=300).stdout
     line = json.loads(out.strip().splitlines()[-1])
     assert line["unit"] == "sec" and set(line["queries"]) == {"weights_sum", "runs_count"} and line["sf"] == 0.001
+
+
+def test_workers_get_the_package_from_anywhere(tmp_path):
+    """With the repository on the driver's path alone, as where only sys.path was set."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+print("rows", e.queries()["jsonl_summary_exact"](spark, {DATA!r}).count(), e.queries()["kl_token_arrow"](spark, {DATA!r}).count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1 True" in out.stdout, out.stderr[-2000:]
