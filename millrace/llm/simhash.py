@@ -136,12 +136,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the smallest id stays.
+    """The rows of ``docs`` without near-duplicates: of each group one row stays.
 
-    Repeated rows of one id are copies too; one of them stays.
+    It is a row with the group's smallest id, or any one if the group has no ids.
+    Ids decide nothing else: rows of different groups stay, whether they have one
+    id in common or none at all.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    # The key stands for null ids too; text is shuffled once, for the join and the grouping.
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    kept = materialize(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key.alias("__mr_key")).distinct(), "kept", docs.count())
-    return docs.withColumn("__mr_key", key).join(kept, "__mr_key", "left_semi").dropDuplicates(["__mr_key"]).drop("__mr_key")
+    # A written number tells rows apart; ids may be null or repeated.
+    numbered = materialize(docs.withColumn("__mr_row", F.monotonically_increasing_id()), "numbered")
+    rows = materialize(fingerprints(numbered, [id_col, "__mr_row"], text_col=text_col), "fingerprints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
+    fps = materialize(rows.groupBy("fp").agg(first.alias("first")), "distinct", rows.count())
+    n = fps.count()
+    labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
+    named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__mr_row"))
+    return numbered.join(materialize(kept, "kept", n), "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

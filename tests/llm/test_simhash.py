@@ -80,6 +80,16 @@ def test_drop(odd_docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0 and simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_drop_tells_rows_apart(spark):
+    """Null and repeated ids hide no row: one stays of each group of texts."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:10]] + [(8, texts[10]), (8, texts[0]), (9, texts[11]), (None, texts[11]), (None, texts[1])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(k.text for k in kept) == sorted(texts)
+    assert {k.text: k.doc_id for k in kept} == {t: 8 if i in (0, 10) else 9 if i == 11 else 7 if i > 5 else None for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "strings", "none"])
 def test_connected_components(spark, shape):
     r = random.Random(1)
