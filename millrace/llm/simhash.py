@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import minhash
 from .common import materialize
 from .components import connected_components
 
@@ -135,20 +136,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(classes, "fp").select(F.col(id_col), text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group one row stays.
 
-    It is a row with the group's smallest id, or any one if the group has no ids.
-    Ids decide nothing else: rows of different groups stay, whether they have one
-    id in common or none at all.
+    Texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more
+    are linked. That is far beyond a fingerprint's reach of 2 bits: candidates come
+    from MinHash bands. The row that stays has the group's smallest id, or is any one
+    if the group has no ids. Ids decide nothing else: rows of different groups stay,
+    whether they have one id in common or none at all.
     """
     # A written number tells rows apart; ids may be null or repeated.
     numbered = materialize(docs.withColumn("__mr_row", F.monotonically_increasing_id()), "numbered")
-    rows = materialize(fingerprints(numbered, [id_col, "__mr_row"], text_col=text_col), "fingerprints")
+    roots = minhash.near_copies(numbered, "__mr_row", text_col=text_col, shingle=shingle, similarity=similarity)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
-    fps = materialize(rows.groupBy("fp").agg(first.alias("first")), "distinct", rows.count())
-    n = fps.count()
-    labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
-    named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__mr_row"))
-    return numbered.join(materialize(kept, "kept", n), "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    named = roots.withColumnRenamed("row", "__mr_row").join(numbered.select("__mr_row", f"`{id_col}`"), "__mr_row")
+    kept = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__mr_row"))
+    return numbered.join(materialize(kept, "kept", numbered.count()), "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

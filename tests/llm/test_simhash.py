@@ -90,6 +90,25 @@ def test_drop_tells_rows_apart(spark):
     assert {k.text: k.doc_id for k in kept} == {t: 8 if i in (0, 10) else 9 if i == 11 else 7 if i > 5 else None for i, t in enumerate(texts)}
 
 
+def test_drop_reaches_similarity(spark):
+    """Pairs at a Jaccard similarity of 0.8 and more of five words lose one text, those below none."""
+    r = random.Random(3)
+    rows, gone = [], set()
+    for i in range(150):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        other = list(words)
+        for at in r.sample(range(200), r.randrange(1, 12)):
+            other[at] = "x"
+        a, b = ({tuple(w[j : j + 5]) for j in range(196)} for w in (words, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * i + 1)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert 30 < len(gone) < 120
+    kept = {k.doc_id for k in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    dropped = set(range(300)) - kept
+    assert dropped <= gone and len(dropped) >= 0.98 * len(gone)
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "strings", "none"])
 def test_connected_components(spark, shape):
     r = random.Random(1)
