@@ -5,7 +5,8 @@ own, built and kept as arrays. Every shard's graph is searched for every vector.
 A search is a beam from the top layer down, for many vectors in lock-step; from
 what it finds at or above the threshold it spreads over the bottom layer until
 nothing new is near enough. While the graph is built, audits compare searches of a
-sample with brute force and widen the beam until their recall is reached. Cosines
+sample with brute force and widen the beam until their recall is reached; a shard
+whose widest beam falls short is searched by brute force. Cosines
 of what is found are then computed in double precision, and the pairs at or above
 the threshold are united into components.
 """
@@ -109,7 +110,7 @@ class Graph:
     """The graph of one shard's unit vectors ``x`` (single precision).
 
     Nodes are in order of falling level, so layer l is the first ``sizes[l]``
-    nodes; ``layers[0]`` is the bottom.
+    nodes; ``layers[0]`` is the bottom. A width of 0 stands for brute force.
     """
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray], width: int = FIRST_BEAM):
@@ -161,6 +162,11 @@ class Graph:
         upper = Graph(self.x, self.layers[1:])
         links, n = self.layers[0], len(self.x)
         chunk = max(16, min(512, _CELLS // max(n, 1)))
+        if not self.width:
+            for i in range(0, len(q), chunk):
+                r, at = np.nonzero(q[i : i + chunk] @ self.x.T >= least)
+                yield r + i, at
+            return
         for i in range(0, len(q), chunk):
             some = q[i : i + chunk]
             ids, sims = _beam(self.x, links, some, upper._descend(some), min(self.width, n))
@@ -186,15 +192,23 @@ class Graph:
             yield np.concatenate(found_r) + i, np.concatenate(found)
 
     def audit(self, least: float, rows: int = AUDIT_ROWS, recall: float = AUDIT_RECALL) -> None:
-        """Widen the beam until searches of evenly spread nodes find what brute force finds."""
+        """Widen the beam until searches of evenly spread nodes find what brute force finds.
+
+        The recall is the mean over the nodes that have neighbours, so that a large
+        group cannot hide what small ones miss. If the widest beam falls short, the
+        width becomes 0: brute force.
+        """
         pick = np.unique(np.linspace(0, len(self.x) - 1, min(rows, len(self.x))).astype(int))
-        true = [np.flatnonzero(self.x[p] @ self.x.T >= least) for p in pick]
-        while self.width < len(self.x):
-            found = {x for r, node in self.near(self.x[pick], least) for x in zip(r.tolist(), node.tolist(), strict=True)}
-            hits = sum((i, int(t)) in found for i, ts in enumerate(true) for t in ts)
-            if hits >= recall * sum(map(len, true)):
+        true = [np.setdiff1d(np.flatnonzero(self.x[p] @ self.x.T >= least), [p]) for p in pick]
+        pick, true = [p for p, t in zip(pick, true, strict=True) if len(t)], [t for t in true if len(t)]
+        while pick and self.width:
+            found: list[list[np.ndarray]] = [[] for _ in pick]
+            for r, node in self.near(self.x[pick], least):
+                for i in np.unique(r):
+                    found[i].append(node[r == i])
+            if np.mean([np.isin(t, np.concatenate(f or [t[:0]])).mean() for t, f in zip(true, found, strict=True)]) >= recall:
                 return
-            self.width *= 2
+            self.width = self.width * 2 if self.width < len(self.x) else 0
 
 
 def _link_back(x: np.ndarray, out: np.ndarray, new: np.ndarray, chosen: np.ndarray) -> None:
@@ -228,14 +242,14 @@ def is_usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _build(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     vecs = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
     nodes = pdf["node"].to_numpy(np.int64)
     order = np.random.default_rng(7).permutation(len(nodes))  # levels fall in a random order
     nodes, vecs = nodes[order], vecs[order]
     graph = Graph.build(_unit(vecs).astype(np.float32))
-    graph.audit(THRESHOLD - SLACK)
+    graph.audit(threshold - SLACK)
     return pd.DataFrame({"dim": [vecs.shape[1]], "shard": [pdf["shard"].iloc[0]], "nodes": [nodes.tobytes()], "copies": [pdf["n"].to_numpy(np.int64)[order].tobytes()], "vecs": [vecs.tobytes()], "links": [[a.tobytes() for a in graph.layers]], "width": [graph.width]})
 
 
@@ -312,7 +326,7 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     n = distinct.count()  # from the files' footers
     shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
     dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "n", "vec")
-    graphs = dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, nodes binary, copies binary, vecs binary, links array<binary>, width int")
+    graphs = dealt.groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, threshold), "dim int, shard int, nodes binary, copies binary, vecs binary, links array<binary>, width int")
     graphs = materialize(graphs.withColumn("threshold", F.lit(threshold)), "graphs")
     # A link shows from either end, so each pair of shards meets once: the vectors of
     # shard ``by`` are searched in the graph of every shard ``of`` up to its own number.

@@ -74,6 +74,24 @@ def test_graph_recall_and_audit():
     assert len(found & true) >= 0.97 * len(true) and found <= true
 
 
+def test_audit_counts_rows_not_links():
+    """A large group's links do not hide lost pairs; nodes out of reach are found by brute force."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(200, 24))
+    x = np.concatenate([r.normal(size=24) + 0.02 * r.normal(size=(1600, 24)), base, base + 0.02 * r.normal(size=(200, 24))])
+    x = hnsw._unit(x).astype(np.float32)
+    g = hnsw.Graph.build(x)
+    bottom = g.layers[0]
+    bottom[(bottom >= 1600)] = -1  # no way to the pairs
+    g.audit(0.95)
+    found = {p for rows, nodes in g.near(x, 0.95) for p in zip(rows.tolist(), nodes.tolist(), strict=True)}
+    assert all((1600 + i, 1800 + i) in found for i in range(200))
+    one = hnsw.Graph.build(x[1600:])
+    one.layers[0][:] = -1
+    one.audit(1.5)  # no node has such neighbours
+    assert one.width == hnsw.FIRST_BEAM
+
+
 def test_merge_labels():
     label = np.arange(10)
     hnsw._merge(label, np.array([9, 8, 1, 3, 5]), np.array([8, 7, 2, 1, 5]))
