@@ -268,40 +268,55 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[open_], b[open_]
 
 
-def _search(key: tuple, graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _search(key: tuple, graphs: pd.DataFrame, asked: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one shard's vectors with another shard's: (node, links, root).
 
-    A row for each node with links: how many rows they stand for, and a node that it
-    is connected with here. So what leaves the task grows with the nodes, not with
-    the pairs.
+    Each shard's vectors are searched in the other's graph. Searches are not
+    symmetric: a link counts, once, if either end finds it. A row for each node with
+    links: how many rows they stand for, and a node that it is connected with here.
+    So what leaves the task grows with the nodes, not with the pairs.
     """
     none = pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
     if not len(graphs) or not len(asked):
         return none
     dim, of, by = (int(k) for k in key)
-    g, other = graphs.iloc[0], asked.iloc[0]
-    threshold = float(g["threshold"])
-    read = lambda row: (np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), _unit(np.frombuffer(row["vecs"], np.float64).reshape(-1, dim)))
-    nodes, copies, x = read(g)
-    asked_nodes, asked_copies, y = read(other)
-    sizes = [len(nodes)]
-    while sizes[-1] > 2 * LINKS:
-        sizes.append(max(1, sizes[-1] // LINKS))
-    layers = [np.frombuffer(b, np.int32).reshape(n, -1) for b, n in zip(g["links"], sizes, strict=True)]
-    graph = Graph(x.astype(np.float32), layers, int(g["width"]))
+
+    def read(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
+        nodes, x = np.frombuffer(row["nodes"], np.int64), _unit(np.frombuffer(row["vecs"], np.float64).reshape(-1, dim))
+        sizes = [len(nodes)]
+        while sizes[-1] > 2 * LINKS:
+            sizes.append(max(1, sizes[-1] // LINKS))
+        layers = [np.frombuffer(b, np.int32).reshape(n, -1) for b, n in zip(row["links"], sizes, strict=True)]
+        return nodes, np.frombuffer(row["copies"], np.int64), x, Graph(x.astype(np.float32), layers, int(row["width"]))
+
+    nodes, copies, x, graph = read(graphs.iloc[0])
+    asked_nodes, asked_copies, y, asked_graph = read(asked.iloc[0])
     n, m, same = len(nodes), len(asked_nodes), of == by
     label, links, asked_links = np.arange(n + m), np.zeros(n), np.zeros(m)
-    for r, at in graph.near(y.astype(np.float32), threshold - SLACK):
+    # A bit for each pair that has been counted; pages of nodes without links stay untouched.
+    seen = np.zeros((m, -(-n // 8)), np.uint8)
+
+    def count(r: np.ndarray, at: np.ndarray) -> None:
         keep = np.concatenate([np.einsum("ij,ij->i", y[r[i : i + 65536]], x[at[i : i + 65536]]) >= threshold for i in range(0, len(r), 65536)] or [np.zeros(0, bool)])
-        if same:  # both have one order; each pair counts from its later end
-            keep &= at < r
         r, at = r[keep], at[keep]
-        asked_links += np.bincount(r, weights=copies[at], minlength=m)
-        links += np.bincount(at, weights=asked_copies[r], minlength=n)
+        if same:  # both have one order; a pair is kept by its later end
+            r, at = np.maximum(r, at)[r != at], np.minimum(r, at)[r != at]
+        pair = np.unique(r.astype(np.int64) * n + at)
+        r, at = pair // n, pair % n
+        new = (seen[r, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0
+        r, at = r[new], at[new]
+        np.bitwise_or.at(seen, (r, at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        asked_links[:] += np.bincount(r, weights=copies[at], minlength=m)
+        links[:] += np.bincount(at, weights=asked_copies[r], minlength=n)
         _merge(label, at, r if same else n + r)
-    if same:
+
+    for r, at in graph.near(asked_graph.x, threshold - SLACK):
+        count(r, at)
+    if same:  # this one search had both directions
         links, label, ids = links + asked_links, label[:n], nodes
     else:
+        for at, r in asked_graph.near(graph.x, threshold - SLACK):
+            count(r, at)
         links, ids = np.concatenate([links, asked_links]), np.concatenate([nodes, asked_nodes])
     has = np.flatnonzero(links)
     return pd.DataFrame({"node": ids[has], "links": links[has].astype(np.int64), "root": ids[label[has]]})
@@ -327,12 +342,11 @@ def near_duplicate_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col:
     shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
     dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "n", "vec")
     graphs = dealt.groupBy("dim", "shard").applyInPandas(lambda pdf: _build(pdf, threshold), "dim int, shard int, nodes binary, copies binary, vecs binary, links array<binary>, width int")
-    graphs = materialize(graphs.withColumn("threshold", F.lit(threshold)), "graphs")
-    # A link shows from either end, so each pair of shards meets once: the vectors of
-    # shard ``by`` are searched in the graph of every shard ``of`` up to its own number.
-    searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "copies", "vecs", "links", "width", "threshold")
-    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "copies", "vecs")
-    found = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(_search, "node long, links long, root long")
+    graphs = materialize(graphs, "graphs")
+    # Each pair of shards meets in one task, which searches both graphs.
+    searched = graphs.select("dim", F.col("shard").alias("of"), F.explode(F.sequence(F.col("shard"), F.lit(shards - 1))).alias("by"), "nodes", "copies", "vecs", "links", "width")
+    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("of"), F.col("shard").alias("by"), "nodes", "copies", "vecs", "links", "width")
+    found = searched.groupBy("dim", "of", "by").cogroup(asked.groupBy("dim", "of", "by")).applyInPandas(lambda key, g, a: _search(key, g, a, threshold), "node long, links long, root long")
     found = materialize(found, "links", n * shards)
     labels = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), n * shards)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -92,6 +93,28 @@ def test_audit_counts_rows_not_links():
     assert one.width == hnsw.FIRST_BEAM
 
 
+@pytest.mark.parametrize("cut", [0, 1])
+def test_links_from_either_end(monkeypatch, cut):
+    """A link that only one end's search finds counts, once, whichever end it is."""
+    real = hnsw.Graph.near
+
+    def near(self, q, least):
+        for r, at in real(self, q, least):
+            one_way = (q[r, 0] > self.x[at, 0]) == bool(cut)
+            keep = one_way | (np.abs(q[r] - self.x[at]).max(axis=1) == 0)
+            yield r[keep], at[keep]
+
+    monkeypatch.setattr(hnsw.Graph, "near", near)
+    r = np.random.default_rng(6)
+    base = r.normal(size=(60, 16))
+    vecs = np.concatenate([base, base + 0.02 * r.normal(size=(60, 16))])
+    row = lambda v, at: hnsw._build(pd.DataFrame({"dim": 16, "shard": 0, "node": at, "n": 1, "vec": list(v)}), 2.0)
+    a, b, both = row(vecs[:60], np.arange(60)), row(vecs[60:], np.arange(60, 120)), row(vecs, np.arange(120))
+    for key, g, asked in [((16, 0, 1), a, b), ((16, 0, 0), both, both)]:
+        found = hnsw._search(key, g, asked, 0.95)
+        assert sorted(found["node"]) == list(range(120)) and set(found["links"]) == {1}
+
+
 def test_merge_labels():
     label = np.arange(10)
     hnsw._merge(label, np.array([9, 8, 1, 3, 5]), np.array([8, 7, 2, 1, 5]))
