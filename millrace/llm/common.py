@@ -36,16 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS, MIN_FILES = 200_000, 8
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, files: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Lost executors cannot take the rows with them. The files go at exit. ``rows``
     bounds the number of rows: small tables are then written in few files, however
-    many partitions they come from.
+    many partitions they come from. ``files`` gives their number.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(MIN_FILES, -(-rows // FILE_ROWS)))
+        files = max(MIN_FILES, -(-rows // FILE_ROWS))
+    if files is not None:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     if not _written:

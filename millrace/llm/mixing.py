@@ -1,16 +1,19 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 The words of a source are laid end to end in a pseudorandom order of its rows
-and packed into blocks of one length. The mix is a list of slots, dealt to
-output shards by multinomial draws of how many slots each source fills there.
-Slot j of a source in pass e takes the block at index perm(j), a pseudorandom
-permutation of the source's block indexes. Each permutation is a bijection with
-a known inverse, so slots and blocks meet by index from the block's side: every
-row works out its own blocks' slots. No table of slots is generated or shuffled.
+and packed into blocks of one length. The mix is a list of slots of one block
+each, dealt to output shards: multinomial draws say how many slots each source
+fills in each shard. Slot j of a source in pass e takes the block at index
+perm(j), a pseudorandom permutation of the source's block indexes, and its place
+in the shard is drawn by a permutation of the shard's places. Blocks and slots
+are joined by index: both permutations are bijections with known inverses, so a
+row works out the shards and places of its own blocks, and the blocks of a shard
+meet at their places. No table of slots is generated or shuffled for that.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 
@@ -19,11 +22,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import P, let, materialize, word_count
 
-#: Words of a block, output shards, and the most sources a catalogue may hold:
-#: a few figures for each source and output shard are planned on the driver.
-BLOCK_WORDS, OUT_SHARDS, MAX_SOURCES = 128, 64, 10_000
+#: Words of a block (a source's last block has what is left) and output shards.
+BLOCK_WORDS, OUT_SHARDS = 512, 64
 #: Parts of a source for numbering its words, so that no task orders a whole source.
 PARTS = 1024
+#: The plan of up to this many sources is broadcast (a few kB each); that of more is joined.
+BROADCAST_SOURCES = 2000
+#: Files of the table of parts, and places of a shard that go to one task together.
+PART_FILES, CHUNK_PLACES = 16, 64
 ROUNDS = 12
 
 
@@ -69,43 +75,66 @@ def draw_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def hash_longs(*values: int) -> int:
+    """Spark's ``xxhash64`` of bigints, in plain Python."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def slot_of(index: int, n: int, key: int) -> int:
+    """``_inverse_fold`` in plain Python."""
+    x = index
+    for r in reversed(range(ROUNDS)):
+        other = (hash_longs(key, r) % n - x) % n
+        if hash_longs(key, r + ROUNDS, max(x, other)) & 1:
+            x = other
+    return x
+
+
 @dataclass(frozen=True)
 class Plan:
-    """One source: its size, target, blocks, and slots by output shard."""
+    """One source: its size, target, blocks and slots, and where its slots go."""
 
     source: str | None
     size: int
     target: float
     blocks: int
     slots: int
-    last: int  # words that the last slot takes
-    ends: list[int]  # slots of this source up to each output shard's end
+    last: int  # words that the last slot takes; 0: all of its block
+    key: int  # of its permutations
+    shards: list[int]  # output shards that take slots of this source
+    ends: list[int]  # slots of this source up to each of those shards' ends
+    bases: list[int]  # what is added to a slot for its number in each of those shards
 
 
 def plan(sizes: dict[str | None, int], *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shards: int = OUT_SHARDS, seed: int = 20) -> list[Plan]:
     names = sorted(sizes, key=lambda s: (s is None, s or ""))  # by code point, null last
     sized = [sizes[s] for s in names]
     found = []
-    for size, target in zip(sized, target_sizes(sized, weights, share, cap), strict=True):
+    for name, size, target in zip(names, sized, target_sizes(sized, weights, share, cap), strict=True):
         blocks = -(-size // block_words)
+        key = zlib.crc32(f"{seed}/{name!r}".encode())
         want = min(round(target), int(cap * size))
         passes, rest = divmod(want, size) if size else (0, 0)
-        # A block has size / blocks words on average, and one more or less by rounding.
-        more = -(-rest * blocks // size) if rest else 0
-        found.append((blocks, passes * blocks + more, rest - (more - 1) * size // blocks if more else 0, target))
-    counts = draw_counts([f[1] for f in found], shards, seed) if found else np.zeros((shards, 0), np.int64)
-    ends = counts.cumsum(axis=0)
-    return [Plan(s, size, t, b, k, last, [int(x) for x in ends[:, i]]) for i, (s, size, (b, k, last, t)) in enumerate(zip(names, sized, found, strict=True))]
-
-
-def permute(index: int, n: int, hash64, rounds: int = ROUNDS) -> int:
-    """The forward permutation in plain Python, with ``hash64(*longs)``; for tests."""
-    x = index
-    for r in range(rounds):
-        other = (hash64(r) % n - x) % n
-        if hash64(r + rounds, max(x, other)) & 1:
-            x = other
-    return x
+        more = last = 0
+        if rest:  # the last pass takes its first slots, one of which may hold the short block
+            short = slot_of(blocks - 1, blocks, hash_longs(key, passes))
+            words = lambda k: k * block_words - (short < k) * (blocks * block_words - size)
+            more = -(-rest // block_words)
+            more += words(more) < rest
+            last = rest - words(more - 1)
+        found.append((name, size, target, blocks, passes * blocks + more, last, key))
+    counts = draw_counts([f[4] for f in found], shards, seed) if found else np.zeros((shards, 0), np.int64)
+    ends, first = counts.cumsum(axis=0), counts.cumsum(axis=1) - counts
+    out = []
+    for i, f in enumerate(found):
+        used = np.flatnonzero(counts[:, i])
+        out.append(Plan(*f, used.tolist(), ends[used, i].tolist(), (first - ends + counts)[used, i].tolist()))
+    return out
 
 
 def _inverse_fold(index: Column, n: Column, key: Column) -> Column:
@@ -115,100 +144,129 @@ def _inverse_fold(index: Column, n: Column, key: Column) -> Column:
     (k - x) mod n and swaps the two if a bit of the larger one's hash is set. Each
     round undoes itself, so the inverse is the rounds in reverse order.
     """
-    rounds = F.array(*[F.lit(r) for r in reversed(range(ROUNDS))])
+    rounds = F.array(*[F.lit(r).cast("long") for r in reversed(range(ROUNDS))])
 
     def step(x: Column, r: Column) -> Column:
-        swapped = lambda other: F.when(F.xxhash64(key, r + F.lit(ROUNDS), F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
+        swapped = lambda other: F.when(F.xxhash64(key, r + F.lit(ROUNDS).cast("long"), F.greatest(x, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
         return let(F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n), swapped)
 
     return F.aggregate(rounds, index, step)
 
 
-def mix_sources(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shards: int = OUT_SHARDS, seed: int = 20) -> DataFrame:
-    """``docs`` plus the mix: ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_taken`` and ``mix_spans``.
+_SPAN = "struct<shard:int,place:bigint,pass:int,block:bigint,offset:int,start:bigint,length:bigint>"
 
-    A span is (shard, slot, pass, start, length): the output shard and the
-    source's slot that take ``length`` words of the row from word ``start`` on, in
-    the given pass over the source. Null texts have size 0 and no span; a null
-    source is a source of its own, last in order. Rows that repeat are rows of
-    their own. An empty table gives an empty mix. ``docs`` must not have columns
-    named mix_*. A row's words are taken ``cap`` times at most.
-    """
-    sized = docs.withColumn("mix_size", word_count(F.col(text_col))).withColumn(f"{P}part", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(PARTS)).cast("int"))
-    parts = materialize(sized.groupBy(F.col(source_col).alias("s"), F.col(f"{P}part").alias("p")).agg(F.sum("mix_size").alias("n")), "parts")
-    totals = parts.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plans = plan({r["s"]: r["n"] for r in totals}, weights=weights, share=share, cap=cap, block_words=block_words, shards=shards, seed=seed)
-    spark = docs.sparkSession
-    rows = [(p.source, p.size, p.target, p.blocks, p.slots, p.last, p.ends, zlib.crc32(f"{seed}/{p.source!r}".encode())) for p in plans]
-    kind = docs.schema[source_col].dataType.simpleString()
-    known = spark.createDataFrame(rows, f"s {kind}, {P}ssize long, {P}target double, {P}blocks long, {P}slots long, {P}last long, {P}ends array<long>, {P}key long").coalesce(1)
-    known = known.withColumnRenamed("s", f"{P}s")
-    # Where each part starts among the source's words: PARTS rows for each source at most.
+
+def _with_spans(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = BLOCK_WORDS, shards: int = OUT_SHARDS, seed: int = 20) -> DataFrame:
+    """``docs`` plus, under the prefix P: size, ssize, target, and spans in the row's order."""
+    c = lambda name: F.col(f"{P}{name}")
+    # The hash orders a source's rows: rows that tie are alike in id and text.
+    sized = docs.withColumns({f"{P}size": word_count(F.col(text_col)), f"{P}hash": F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), f"{P}source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))})
+    sized = sized.withColumn(f"{P}part", F.pmod(c("hash"), F.lit(PARTS)).cast("int"))
+    parts = materialize(sized.groupBy(c("source").alias("s"), c("part").alias("p")).agg(F.sum(c("size")).alias("n")), "parts", files=PART_FILES)
+    totals = parts.groupBy("s").agg(F.sum("n").alias("n")).collect()  # a row for each source
+    plans = plan({r["s"][1:] if r["s"] else None: r["n"] for r in totals}, weights=weights, share=share, cap=cap, block_words=block_words, shards=shards, seed=seed)
+    rows = [("" if p.source is None else "=" + p.source, p.size, p.target, p.blocks, p.slots, p.last, p.key, p.shards, p.ends, p.bases) for p in plans]
+    known = docs.sparkSession.createDataFrame(rows, f"{P}s string, {P}ssize long, {P}target double, {P}blocks long, {P}slots long, {P}last long, {P}key long, {P}shards array<int>, {P}ends array<long>, {P}bases array<long>").coalesce(1)
+    # Where each part starts among the source's words.
     before = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.select(F.col("s").alias(f"{P}fs"), F.col("p").alias(f"{P}fp"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"{P}first"))
-    order = Window.partitionBy(source_col, f"{P}part").orderBy(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.col(id_col), "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn(f"{P}within", F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    both = placed.join(firsts, F.col(f"`{source_col}`").eqNullSafe(F.col(f"{P}fs")) & (F.col(f"{P}part") == F.col(f"{P}fp"))).drop(f"{P}fs", f"{P}fp")
-    # MAX_SOURCES rows at most, each with a count for every output shard.
-    both = both.join(F.broadcast(known), F.col(f"`{source_col}`").eqNullSafe(F.col(f"{P}s"))).drop(f"{P}s")
-    c = lambda name: F.col(f"{P}{name}")
-    begin, size = c("first") + c("within"), F.col("mix_size")
-    # The first ``long_`` blocks have ``short + 1`` words, the others ``short``.
-    short = F.when(c("blocks") > 0, F.expr(f"{P}ssize div greatest({P}blocks, 1)")).otherwise(F.lit(1))
-    both = both.withColumn(f"{P}begin", begin).withColumn(f"{P}short", F.greatest(short, F.lit(1)).cast("long"))
-    both = both.withColumn(f"{P}long", c("ssize") - c("blocks") * c("short"))
-
-    def block_of(word: str) -> Column:
-        edge = f"{P}long * ({P}short + 1)"
-        return F.expr(f"if({word} < {edge}, ({word}) div ({P}short + 1), {P}long + ({word} - {edge}) div {P}short)")
+    order = Window.partitionBy(c("source"), c("part")).orderBy(c("hash")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn(f"{P}within", F.coalesce(F.sum(c("size")).over(order), F.lit(0)))
+    both = placed.join(firsts, (c("source") == c("fs")) & (c("part") == c("fp")))
+    both = both.join(F.broadcast(known) if len(rows) <= BROADCAST_SOURCES else known, c("source") == c("s"))
+    both = both.withColumn(f"{P}begin", c("first") + c("within"))
+    total, words = sum(p.slots for p in plans), F.lit(block_words).cast("long")
 
     def spans_of(block: Column) -> Column:
-        starts = lambda i: i * c("short") + F.least(i, c("long"))
-        lo, hi = F.greatest(starts(block), c("begin")), F.least(starts(block + 1), c("begin") + size)
+        lo, hi = F.greatest(block * words, c("begin")), F.least((block + 1) * words, c("begin") + c("size"))
 
         def in_pass(e: Column) -> Column:
             # Bound to a variable: the permutation is worked out once for each block and pass.
             keyed = lambda key: e * c("blocks") + _inverse_fold(block, c("blocks"), key)
-            return let(let(F.xxhash64(c("key"), e), keyed), lambda slot: taken_by(slot, e))
+            return let(let(F.xxhash64(c("key"), e), keyed), lambda slot: F.when(slot < c("slots"), let(F.size(F.filter(c("ends"), lambda x: x <= slot)) + 1, lambda i: taken_by(slot, e, i))))
 
-        def taken_by(slot: Column, e: Column) -> Column:
+        def taken_by(slot: Column, e: Column, i: Column) -> Column:
             # Only the last slot of all takes less than its block, from the block's start on.
-            end = F.when((slot == c("slots") - 1) & (c("last") > 0), F.least(hi, starts(block) + c("last"))).otherwise(hi)
-            shard = F.when(slot < c("slots"), F.size(F.filter(c("ends"), lambda x: x <= slot)))
-            return F.struct(shard.alias("shard"), slot.alias("slot"), e.cast("int").alias("pass"), (lo - c("begin")).alias("start"), (end - lo).alias("length"))
+            end = F.when((slot == c("slots") - 1) & (c("last") > 0), F.least(hi, block * words + c("last"))).otherwise(hi)
+            shard = F.element_at(c("shards"), i)
+            # Places of the shard: the total is dealt evenly.
+            edge = lambda s: F.floor(F.lit(total).cast("decimal(20,0)") * s / F.lit(shards)).cast("long")
+            place = _inverse_fold(slot + F.element_at(c("bases"), i), edge(shard + 1) - edge(shard), F.xxhash64(F.lit(seed).cast("long"), shard.cast("long")))
+            return F.struct(shard.alias("shard"), place.alias("place"), e.cast("int").alias("pass"), block.alias("block"), (lo - block * words).cast("int").alias("offset"), (lo - c("begin")).alias("start"), (end - lo).alias("length"))
 
         return F.transform(passes, in_pass)
 
-    passes = F.transform(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1)), lambda e: e.cast("long"))
-    both = both.withColumn(f"{P}b0", block_of(f"{P}begin")).withColumn(f"{P}b1", block_of(f"({P}begin + mix_size - 1)"))
-    spans = F.flatten(F.transform(F.sequence(c("b0"), c("b1")), spans_of))
-    spans = F.filter(spans, lambda x: (x["slot"] < c("slots")) & (x["length"] > 0))
-    empty = F.expr("cast(array() as array<struct<shard:int,slot:bigint,pass:int,start:bigint,length:bigint>>)")
-    both = both.withColumn("mix_spans", F.when(size > 0, spans).otherwise(empty))
-    taken = F.aggregate("mix_spans", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    return both.select(*[F.col(f"`{x}`") for x in docs.columns], "mix_size", c("ssize").alias("mix_source_size"), c("target").alias("mix_target"), taken.alias("mix_taken"), "mix_spans")
+    passes = F.array(*[F.lit(e).cast("long") for e in range(int(-(-cap // 1)))])
+    own = F.expr(f"sequence({P}begin div {block_words}, ({P}begin + {P}size - 1) div {block_words})")
+    spans = F.filter(F.flatten(F.transform(own, spans_of)), lambda x: x["length"] > 0)  # null lengths go, too
+    both = both.withColumn(f"{P}spans", F.when(c("size") > 0, spans).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)")))
+    return both.select(*[F.col(f"`{x}`") for x in docs.columns], c("size"), c("ssize"), c("target"), c("spans"))
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """(id, size, source_size, target, taken, shards, spans) for every row.
+
+    A span is (shard, place, pass, block, offset, start, length): the block at that
+    place of the output shard holds, from its word ``offset`` on, ``length`` words of
+    the row from the row's word ``start`` on. ``taken`` is the sum of the lengths, and
+    ``shards`` lists the output shards. Null texts have size 0 and no span; a null
+    source is a source of its own, last in order. Rows that repeat are rows of
+    their own. An empty table gives an empty mix. Other columns are ignored. A row's
+    words are taken ``cap`` times at most.
+    """
+    spans = F.col(f"{P}spans")
+    taken = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    shards = F.array_sort(F.array_distinct(F.transform(spans, lambda x: x["shard"])))
+    mixed = _with_spans(docs, id_col=id_col, **how)
+    return mixed.select(F.col(f"`{id_col}`"), F.col(f"{P}size").alias("size"), F.col(f"{P}ssize").alias("source_size"), F.col(f"{P}target").alias("target"), taken.alias("taken"), shards.alias("shards"), spans.alias("spans"))
+
+
+def _pieces(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """A row for each span: the columns of ``docs``, P + "span", and P + "text" with its words.
+
+    A span of a whole row has the text as it is, others the words with the white
+    space before each.
+    """
+    mixed = _with_spans(docs, text_col=text_col, **how)
+    whole = lambda x: x["length"] == F.col(f"{P}size")
+    parts = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    # The words are found once a row, and only for rows that are cut.
+    words = F.when(F.exists(f"{P}spans", lambda x: ~whole(x)), parts)
+
+    def cut(words: Column) -> Column:
+        text = lambda x: F.when(whole(x), F.col(f"`{text_col}`")).otherwise(F.array_join(F.slice(words, x["start"].cast("int") + 1, x["length"].cast("int")), ""))
+        return F.transform(f"{P}spans", lambda x: F.struct(x.alias("span"), text(x).alias("text")))
+
+    rows = mixed.select(*[F.col(f"`{x}`") for x in docs.columns], F.explode(let(words, cut)).alias(f"{P}x"))
+    return rows.select(*[F.col(f"`{x}`") for x in docs.columns], F.col(f"{P}x.span").alias(f"{P}span"), F.col(f"{P}x.text").alias(f"{P}text"))
+
+
+def mix_blocks(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
+    """The output shards: (shard, place, source, pass, block, words, pieces), a row for each slot.
+
+    ``pieces`` has (offset, id, start, length, text) in the block's order; their
+    lengths add up to ``words``, the block length but for a source's last block and
+    last slot. The places of a shard are 0, 1, 2 and so on.
+    """
+    rows = _pieces(docs, id_col=id_col, source_col=source_col, **how)
+    span = lambda name: F.col(f"{P}span.{name}")
+    piece = F.struct(span("offset").alias("offset"), F.col(f"`{id_col}`").alias("id"), span("start").alias("start"), span("length").alias("length"), F.col(f"{P}text").alias("text"))
+    # A block has as many pieces as words at most.
+    found = rows.groupBy(span("shard").alias("shard"), span("place").alias("place")).agg(F.first(f"`{source_col}`").alias("source"), F.first(span("pass")).alias("pass"), F.first(span("block")).alias("block"), F.sum(span("length")).alias("words"), F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return found.select("shard", "place", "source", "pass", "block", "words", "pieces")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents: one row for each row and pass of which words are taken.
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
+    """The mix as documents: the pieces of the output shards' blocks, in order.
 
-    A row taken whole keeps its text as it is. Of others the taken words stay, in
-    order, with the white space before each. The columns are those of ``docs``;
-    n_chars, if there, is counted anew.
+    A row for each piece, with the columns of ``docs``: the text is the piece's, and
+    n_chars, if there, is counted anew. Pieces stand in the order of the mix: some
+    places of an output shard go to one partition together, sorted.
     """
-    mixed = mix_sources(docs, **how)
-    passes = F.array_sort(F.array_distinct(F.transform("mix_spans", lambda x: x["pass"])))
-    rows = mixed.withColumn(f"{P}pass", F.explode(passes))
-    spans = F.array_sort(F.transform(F.filter("mix_spans", lambda x: x["pass"] == F.col(f"{P}pass")), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))))
-    rows = rows.withColumn(f"{P}spans", spans)
-    got = F.aggregate(f"{P}spans", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-    text = how.get("text_col", "text")
-    words = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform(f"{P}spans", lambda x: F.slice(F.col(f"{P}words"), x["start"].cast("int") + 1, x["length"].cast("int")))), "")
-    part = F.when(got == F.col("mix_size"), F.col(text)).otherwise(cut)
-    rows = rows.withColumn(f"{P}words", F.when(got < F.col("mix_size"), words)).withColumn(text, part)
+    rows = _pieces(docs, text_col=text_col, **how)
+    span = lambda name: F.col(f"{P}span.{name}")
+    rows = rows.repartition(span("shard"), F.floor(span("place") / CHUNK_PLACES)).sortWithinPartitions(span("shard"), span("place"), span("offset"))
+    new = {text_col: F.col(f"{P}text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(f"`{x}`") for x in docs.columns])
+        new["n_chars"] = F.length(f"{P}text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new[x].alias(x) if x in new else F.col(f"`{x}`") for x in docs.columns])
