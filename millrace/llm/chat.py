@@ -52,22 +52,18 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     n = F.size("turns")
-    # Each turn is escaped once; lambda variables hold what several examples use.
-    escaped = F.transform("turns", lambda x: F.struct((x["role"] == target_role).alias("target"), escape(x["role"]).alias("role"), escape(x["text"]).alias("text")))
-    part = lambda e: F.concat(F.lit(TURN), e["role"], F.lit(TEXT), e["text"], F.lit(END))
-
-    def example(i: Column, k: Column, turns: Column, parts: Column) -> Column:
-        last, text = F.element_at(turns, i), F.array_join(F.slice(parts, F.lit(1), i), "")
-        length = F.length(last["text"])
-        made = lambda t: F.struct(k.alias("example"), t.alias("text"), F.when(last["target"], F.length(t) - len(END) - length).alias("loss_start"), F.when(last["target"], length).alias("loss_length"))
-        return let(text, made)
-
-    def examples(turns: Column) -> Column:
-        # Examples end at every target turn, and at the last turn in any case.
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(turns, i)["target"] | (i == n))
-        return let(F.transform(turns, part), lambda parts: F.transform(ends, lambda i, k: example(i, k, turns, parts)))
-
-    return chats.select("conv_id", n.alias("n_turns"), F.inline(let(escaped, examples))).select("conv_id", "example", "text", "loss_start", "loss_length", "n_turns")
+    # Each turn is escaped once, before the conversation is expanded.
+    escaped = F.transform("turns", lambda x: F.struct((x["role"] == target_role).alias("target"), F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT)).alias("head"), escape(x["text"]).alias("text")))
+    chats = chats.select("conv_id", n.alias("n_turns"), escaped.alias("turns"))
+    # Examples end at every target turn, and at the last turn in any case. Only the ends
+    # are expanded: a prefix is built in its own row, so no row holds more than one.
+    ends = F.filter(F.sequence(F.lit(1), F.col("n_turns")), lambda i: F.element_at("turns", i)["target"] | (i == F.col("n_turns")))
+    found = chats.select("conv_id", "n_turns", "turns", F.posexplode(ends).alias("example", "last"))
+    text = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("last")), lambda x: F.concat(x["head"], x["text"], F.lit(END))), "")
+    last = F.element_at("turns", F.col("last"))
+    length = F.length(last["text"])
+    made = lambda t: F.struct(t.alias("text"), F.when(last["target"], F.length(t) - len(END) - length).alias("loss_start"), F.when(last["target"], length).alias("loss_length"))
+    return found.select("conv_id", "example", let(text, made).alias("made"), "n_turns").select("conv_id", "example", "made.text", "made.loss_start", "made.loss_length", "n_turns")
 
 
 def read_turns(text: Column) -> Column:
