@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import P
+from .common import P, let
 
 #: The generator of the published algorithm: key * MULTIPLIER + 1 modulo 2^64.
 MULTIPLIER = 2862933555777941757
@@ -17,13 +17,18 @@ MULTIPLIER = 2862933555777941757
 PARTS = 256
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard of a 64-bit key (Lamping and Veach), 0 to ``shards`` - 1.
+#: Jumps worked out for every row. The published loop makes about ln(shards) + 1 jumps;
+#: only rows that need more go on.
+STEPS = 24
+
+
+def _jumps(key: Column, shards: int) -> Column:
+    """(state, shard, next) where the published loop (Lamping and Veach) ends: ``next``,
+    the next shard jumped to, is the first beyond the last shard.
 
     The 64-bit state is kept as a non-negative decimal, as bigint arithmetic must
-    not wrap. The published loop ends as soon as the next jump is beyond the last
-    shard; here later steps leave the state as it is. Every step jumps by one
-    shard at least, so ``shards`` steps are enough.
+    not wrap. Steps after the loop's end leave the state as it is. Every step jumps
+    by one shard at least, so ``shards`` steps are enough.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -41,8 +46,16 @@ def jump_hash(key: Column, shards: int) -> Column:
         jumped = F.floor((at["next"] + 1).cast("double") * (F.lit(float(2**31)) / top)).cast("long")
         return F.when(at["next"] >= F.lit(shards), at).otherwise(F.struct(state.alias("state"), at["next"].alias("shard"), jumped.alias("next")))
 
-    steps = F.sequence(F.lit(1), F.lit(shards))
-    return F.aggregate(steps, start, step, lambda at: at["shard"]).cast("int")
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, STEPS))), start, step)
+    if shards <= STEPS:
+        return first
+    rest = F.sequence(F.lit(STEPS + 1), F.lit(shards))
+    return let(first, lambda at: F.when(at["next"] >= F.lit(shards), at).otherwise(F.aggregate(rest, at, step)))
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The shard of a 64-bit key, 0 to ``shards`` - 1."""
+    return _jumps(key, shards)["shard"].cast("int")
 
 
 def shard_by_key(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,14 +75,15 @@ def shard_by_key(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", t
     before = Window.partitionBy(f"{P}shard").orderBy(f"{P}part").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards * PARTS rows whatever the input's size, so it is broadcast.
     starts = F.broadcast(counts.select(F.col(f"{P}shard").alias("s"), F.col(f"{P}part").alias("p"), F.coalesce(F.sum(f"{P}n").over(before), F.lit(0)).alias("first")))
+    # With one more shard the loop goes on only where its next jump reaches just that shard.
+    both = let(_jumps(key, shards), lambda at: F.struct(at["shard"].cast("int").alias("shard"), F.when(at["next"] == shards, F.lit(shards)).otherwise(at["shard"].cast("int")).alias("grown")))
     rows = docs.select(
         F.col(id_col).alias(f"{P}id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        jump_hash(key, shards).alias("shard"),
-        jump_hash(key, shards + 1).alias("grown_shard"),
+        both.alias(f"{P}both"),
         part.alias(f"{P}part"),
-    )
+    ).select(f"{P}id", "size", "text_crc32", F.col(f"{P}both.shard").alias("shard"), F.col(f"{P}both.grown").alias("grown_shard"), f"{P}part")
     order = Window.partitionBy("shard", f"{P}part").orderBy(f"{P}id", "size", "text_crc32")
     numbered = rows.withColumn(f"{P}at", F.row_number().over(order) - 1)
     return numbered.join(starts, (F.col("shard") == F.col("s")) & (F.col(f"{P}part") == F.col("p"))).select(

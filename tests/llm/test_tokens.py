@@ -10,6 +10,8 @@ import sentencepiece
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from millrace.llm import packing, sharding, tokencount
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -157,8 +159,6 @@ def jump(key, n):
 
 
 def test_jump_hash(spark):
-    from pyspark.sql import functions as F
-
     keys = spark.range(3000).select(F.xxhash64("id").alias("k")).union(spark.sql("select explode(array(0L, -1L, 9223372036854775807L, -9223372036854775808L))"))
     for n in (1, 2, 40, 41):
         for r in keys.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect():
@@ -180,6 +180,8 @@ def test_shards(spark, odd_docs, no_docs):
     want = sorted((str(d.doc_id), len((d.text or "").encode()) + 16, zlib.crc32((d.text or "").encode())) for d in docs.collect())
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == want
     assert 5 < sum(r.grown_shard == 40 for r in rows) < 60
+    grown = docs.select("doc_id", sharding.jump_hash(F.xxhash64("doc_id"), 41).alias("s")).collect()
+    assert sorted((str(r.doc_id), r.grown_shard) for r in rows) == sorted((str(g.doc_id), g.s) for g in grown)
     assert len({r.shard for r in rows if r.doc_id == 2}) == 1  # repeated rows share a shard
     assert sharding.shard_by_key(odd_docs).count() == odd_docs.count() and sharding.shard_by_key(no_docs).count() == 0
     plan = sharding.shard_by_key(odd_docs)._jdf.queryExecution().executedPlan().toString()
