@@ -124,6 +124,15 @@ PAGES = [
     (16, "http://g.net/", '<link rel="canonical" href="http://g.net/">'),
     (16, "http://g.net/", '<link rel="canonical" href="http://g.net/">'),
     (None, "http://u@c.net:80/1", ""),
+    (20, "http://H.net/a/b/c?q#f", '<link rel="canonical" href="../x">'),
+    (21, "HTTP://h.NET/a/x", ""),
+    (22, "http://h.net/a/./y/../x#z", '<link rel=canonical href="http://B.com/de/./5">'),
+    (23, "http://i.net/p/q?old", '<link rel="canonical" href="?new">'),
+    (24, "http://i.net/p/q?new", '<meta http-equiv="refresh" content="0; url=r.html#top">'),
+    (25, "http://i.net/p/r.html", '<link rel="canonical" href="http://b.com/fr/1">'),
+    (26, "http://j.net", '<link rel="canonical" href="go?to=http://b.com/de/1">'),
+    (27, "http://j.net/go?to=http://b.com/de/1", '<link rel="canonical" href="mailto:a@b.com"><link rel="canonical" href="http://b.com/de/3/..">'),
+    (28, "http://j.net/", ""),
     (17, "http:///fr/", ""),
     (18, "http://com/fr/", ""),
 ]
@@ -147,6 +156,10 @@ def test_urls(pages):
     assert [got[i][3] for i in (9, 10, 11)] == ["allow"] * 3  # an alias is allowed through page 14
     assert got[12][3] == got[13][3] == "allow"
     assert got[15][2:] == ("com/de/", "block")  # its own rule decides
+    assert [got[i][3] for i in (20, 21, 22)] == ["block"] * 3  # relative, dot segments, case of the host
+    assert [got[i][3] for i in (23, 24, 25)] == ["allow"] * 3
+    assert [got[i][3] for i in (26, 27, 28)] == ["block"] * 3
+    assert got[22][:2] == ("h.net", "/a/./y/../x")  # host and path stay as the URL has them
     assert got[None][0] == "u@c.net:80" and got[17][:2] == ("", "/fr/") and got[18][2] == "com/fr/"
 
 
@@ -170,11 +183,57 @@ def test_url_edge_cases(pages):
     assert urlfilter.judge_urls(pages.where("false")).count() == 0
     with pytest.raises(ValueError):
         urlfilter.parse_rule("deny", "x/")
-    with pytest.raises(ValueError):
-        urlfilter.fitting_rule(F.lit("a"), F.lit("/"), tuple(urlfilter.parse_rule("allow", f"h{i}/") for i in range(501)))
     plan = urlfilter.judge_urls(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
 
 
+def fitting(host, path, rules):
+    fits = [(len(r.host + r.path), -i, r) for i, r in enumerate(rules) if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits)[2] if fits else None
+
+
+def test_many_rules(spark, pages):
+    """A hundred thousand rules are joined; a plain search over them says the same."""
+    r = random.Random(2)
+    label, part = lambda: r.choice("abcdefg"), lambda: "/" + "/".join(r.choice(["x", "xy", "z", ""]) for _ in range(r.randrange(4)))
+    host = lambda n: ".".join(label() for _ in range(n))
+    some = [urlfilter.Rule(r.choice(["allow", "block"]), host(r.randrange(1, 4)), part()) for _ in range(600)]
+    rules = tuple(some) + tuple(urlfilter.Rule("block", f"h{i % 300}.net", f"/{i}") for i in range(100_000))
+    urls = [f"http://{host(r.randrange(1, 6))}{part()}?q" for _ in range(300)] + [f"http://w.h{i}.net/{i}7" for i in range(0, 300, 3)] + ["http://h5.net./5", None, "none", "http://h7.net/7"] + ["http://same.net/"] * 200
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("<p>"))
+    by_host = {}
+    for i, x in enumerate(rules):
+        by_host.setdefault(x.host, []).append((i, x))
+    got = urlfilter.judge_urls(df, rules=rules).collect()
+    assert len(got) == len(urls)
+    for g in got:
+        own = sorted(x for h in {g.host[i:] for i in range(len(g.host)) if i == 0 or g.host[i - 1] == "."} for x in by_host.get(h, []))
+        rule = fitting(g.host, g.path, [x for _, x in own])
+        assert (g.rule, g.verdict) == ((rule.text, rule.verdict) if rule else (None, "allow"))
+    few = urlfilter.judge_urls(pages).collect()
+    table_of = spark.createDataFrame([(x.verdict, x.host, x.path, i) for i, x in enumerate(urlfilter.RULES)], "verdict string, host string, path string, i long")
+    assert sorted(map(str, few)) == sorted(map(str, urlfilter.judge_urls(pages, rules=table_of).collect()))
+
+
+def test_rows_without_alias_are_spread(spark):
+    df = spark.range(2000).selectExpr("id as page_id", "'http://x.org/1' as url", "'' as html")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = urlfilter.judge_urls(df)
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 8 and max(s["count"] for s in sizes) < 600
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_long_conversation(spark):
+    """Prefixes are built one by one: 500 turns of 3000 characters, of which each reply has all before it."""
+    df = spark.range(500).selectExpr("1 as conv_id", "id as turn", "if(id % 2 = 1, 'assistant', 'user') as role", "repeat('wo<|rd ', 500) as text")
+    found = chat.digest(chat.format_chats(df)).collect()
+    assert len(found) == 1 and found[0].n_turns == 500 and found[0].loss_chars == 250 * 3500
+
+
 def test_registered_sql_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
