@@ -194,12 +194,67 @@ def test_viterbi_is_optimal(texts, penalty):
         assert value(s, path, penalty) == pytest.approx(best_path(s, penalty))
 
 
+@pytest.mark.parametrize("langs", [1, 2, 3, 150])
+def test_viterbi_in_segments(monkeypatch, langs):
+    """Segments and bounded batches change nothing."""
+    r = np.random.default_rng(langs)
+    many = [r.normal(size=(int(n), langs)).round(1) * 3 for n in r.integers(1, 400, 30)]
+    whole = langid.viterbi_batch(many, 2.0)
+    monkeypatch.setattr(langid, "_CELLS", 100 * langs)
+    monkeypatch.setattr(langid, "_SEGMENT", 37 * langs)
+    for a, b, s in zip(whole, langid.viterbi_batch(many, 2.0), many, strict=True):
+        assert (a == b).all() and value(s, a.astype(int), 2.0) == pytest.approx(best_path(s, 2.0))
+
+
+def test_long_text_in_bounded_memory(spark):
+    """A long text among short ones, in three languages by turns (300,000 words took under 200 MB)."""
+    import tracemalloc
+
+    model = langid.fit(labelled(spark))
+    words = [f"{w}{i}" if i % 7 == 0 else w for i in range(2500) for part in [(EN, DE, RU)[i // 100 % 3]] for w in part.split()]
+    texts = [" ".join("".join(chr(97 + int(c)) if c.isdigit() else c for c in w) for w in words), *[EN, DE + " " + RU] * 31]
+    tracemalloc.start()
+    held = tracemalloc.get_traced_memory()[0]
+    found = langid.label_texts(texts, model)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert len(words) > 49_000 and peak < 50e6
+    assert 20 <= len(found[0][2]) <= 30 and sum(s[1] for s in found[0][2]) == len(words)
+    rows = {w: i for i, w in enumerate(dict.fromkeys(langid.words_of(texts[0])))}
+    own = model.score(list(rows))[[rows[w] for w in langid.words_of(texts[0])]]
+    spans = [(a, n, model.langs.index(x)) for a, n, x in found[0][2]]
+    path = np.repeat([x for *_, x in spans], [n for _, n, _ in spans])
+    assert value(own, path, langid.SWITCH_PENALTY) == pytest.approx(best_path(own, langid.SWITCH_PENALTY))
+
+
+def test_ngrams_of_parts(monkeypatch):
+    words = ["a", "bcd", "x" * 500, "é日", "yz"]
+    joined = lambda: sorted(zip(*(np.concatenate(x).tolist() for x in zip(*langid.ngram_buckets(words), strict=True)), strict=True))
+    whole = joined()
+    for size in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "_NGRAM_CHARS", size)
+        assert joined() == whole
+
+
+def test_sample_by_language(spark):
+    """A rare language is learned though far fewer rows are read; very many languages share buckets."""
+    docs = labelled(spark, 3000).where("lang <> 'ru' or doc_id % 60 = 2").cache()
+    model = langid.fit(docs, rows=150)
+    assert model.langs == ["de", "en", "ru"] and langid.label_texts([RU], model)[0][0] == "ru"
+    assert langid._quotas({"a": 10, "b": 1000, "c": 5000}, 300) == {"a": 10, "b": 145, "c": 145}
+    many = spark.range(1600).selectExpr("id as doc_id", "concat('word', id % 400, ' text') as text", "concat('l', id % 400) as lang")
+    model = langid.fit(many)
+    assert 390 < len(model.langs) <= 400 and len(model.table) * 400 <= langid.BUCKETS * langid.FULL_LANGS
+
+
 def test_keep_identified(spark, odd_docs, no_docs):
     docs = labelled(spark)
-    mixed = spark.createDataFrame([(9000, " ".join(EN.split()[:7] + DE.split()[:7] + RU.split()[:7]), "en"), (9001, "123 !!", "en"), (9002, None, None)], docs.schema)
+    mixed = spark.createDataFrame([(9000, " ".join(EN.split()[:7] + DE.split()[:7] + RU.split()[:7]), "en"), (9001, "123 !!", "en"), (9002, None, None), (9003, "漢字 日本語", None)], docs.schema)
     kept = langid.keep_identified(docs.union(mixed))
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == set(range(400))
+    assert {r.doc_id for r in kept.collect()} == {*range(400), 9000}  # several languages are no reason to go
+    one = docs.where("lang = 'en'")
+    assert langid.keep_identified(one).count() == one.count()
     assert langid.keep_identified(odd_docs).columns == odd_docs.columns and langid.keep_identified(no_docs).count() == 0
 
 
