@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,7 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Prefix of internal columns, so that they cannot clash with a caller's own.
 P = "__mr_"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}  # folders that are still there
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +42,8 @@ FILE_ROWS, MIN_FILES = 200_000, 8
 def materialize(df: DataFrame, name: str, rows: int | None = None, files: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Lost executors cannot take the rows with them. The files go at exit. ``rows``
+    Lost executors cannot take the rows with them. The files go with the ``scratch``
+    they are written in, or at exit. ``rows``
     bounds the number of rows: small tables are then written in few files, however
     many partitions they come from. ``files`` gives their number.
     """
@@ -49,19 +53,52 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, files: int |
     if files is not None:
         df = df.coalesce(files)
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_remove)
-    _written.append((spark, path.rpartition("/")[0]))
-    return spark.read.schema(df.schema).parquet(path)
+    folder = path.rpartition("/")[0]
+    _written[folder] = spark
+    if (scope := _scope.get()) is not None:
+        scope.append(folder)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_folder = folder
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized inside are deleted at its end, also after an error.
+
+    ``keep(table)`` keeps one, for the enclosing scope if there is one. What is
+    returned from inside may depend on kept tables only.
+    """
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        own.remove(table._millrace_folder)
+        if outer is not None:
+            outer.append(table._millrace_folder)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        for folder in own:
+            _delete(folder)
+
+
+def _delete(folder: str) -> None:
+    spark = _written.pop(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _remove() -> None:
-    for spark, path in _written:
+    for folder in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(folder)
         except Exception:  # the session has ended; nothing is left to clean with
             return
 

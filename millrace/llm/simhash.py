@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import minhash
-from .common import materialize
+from .common import materialize, scratch
 from .components import connected_components
 
 RADIUS, BITS = 2, 64
@@ -123,15 +123,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Other columns are ignored.
     """
     rows = materialize(fingerprints(docs, [id_col], text_col=text_col, shingle=shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", rows.count())
-    n = fps.count()  # like the one before, from the files' footers
-    # A fingerprint has SMALL_BUCKET links a table at most, and those of its star.
-    labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
-    named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named", n)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = materialize(least, "least", n)
-    classes = materialize(named.join(of, "root").select("fp", "component_id"), "classes", n)
+    with scratch() as keep:
+        fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", rows.count())
+        n = fps.count()  # like the one before, from the files' footers
+        # A fingerprint has SMALL_BUCKET links a table at most, and those of its star.
+        labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
+        named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = materialize(named, "named", n)
+        least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = materialize(least, "least", n)
+        classes = keep(materialize(named.join(of, "root").select("fp", "component_id"), "classes", n))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(classes, "fp").select(F.col(id_col), text.alias("fingerprint"), "component_id")
 
@@ -147,8 +148,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     """
     # A written number tells rows apart; ids may be null or repeated.
     numbered = materialize(docs.withColumn("__mr_row", F.monotonically_increasing_id()), "numbered")
-    roots = minhash.near_copies(numbered, "__mr_row", text_col=text_col, shingle=shingle, similarity=similarity)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
-    named = roots.withColumnRenamed("row", "__mr_row").join(numbered.select("__mr_row", f"`{id_col}`"), "__mr_row")
-    kept = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__mr_row"))
-    return numbered.join(materialize(kept, "kept", numbered.count()), "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    with scratch() as keep:
+        roots = minhash.near_copies(numbered, "__mr_row", text_col=text_col, shingle=shingle, similarity=similarity)
+        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
+        named = roots.withColumnRenamed("row", "__mr_row").join(numbered.select("__mr_row", f"`{id_col}`"), "__mr_row")
+        kept = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__mr_row"))
+        kept = keep(materialize(kept, "kept", numbered.count()))
+    return numbered.join(kept, "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, lower_ascii, materialize
+from .common import let, lower_ascii, materialize, scratch
 from .components import connected_components
 
 #: Up to this many rules are branches of an expression; more are joined.
@@ -179,13 +179,14 @@ def judge_urls(pages: DataFrame, *, rules: tuple[Rule, ...] | DataFrame = RULES,
     edges = alias_edges(pages, url_col=url_col, html_col=html_col)
     if redirects is not None:
         edges = edges.union(redirects.select(normal(F.col("a")), normal(F.col("b"))))
-    labels = connected_components(edges)
-    # Members are decided by rules on their URLs alone, whether pages or not.
-    named = labels.select("v", "root", host_of(F.col("v")).alias("host"), path_of(F.col("v")).alias("path"))
-    said = with_rule(named, rules).select("v", "root", F.col("r.verdict").alias("said"))
-    classes = said.groupBy("root").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
-    passed = said.where("said is null").join(classes.where("allowed or blocked"), "root")
-    passed = materialize(passed.select(F.col("v").alias("alias"), F.when(F.col("allowed"), "allow").otherwise("block").alias("inherited")), "inherited", files=ALIAS_FILES)
+    with scratch() as keep:
+        labels = connected_components(edges)
+        # Members are decided by rules on their URLs alone, whether pages or not.
+        named = labels.select("v", "root", host_of(F.col("v")).alias("host"), path_of(F.col("v")).alias("path"))
+        said = with_rule(named, rules).select("v", "root", F.col("r.verdict").alias("said"))
+        classes = said.groupBy("root").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
+        passed = said.where("said is null").join(classes.where("allowed or blocked"), "root")
+        passed = keep(materialize(passed.select(F.col("v").alias("alias"), F.when(F.col("allowed"), "allow").otherwise("block").alias("inherited")), "inherited", files=ALIAS_FILES))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u"))
     rows = with_rule(rows.withColumn("host", host_of(F.col("u"))).withColumn("path", path_of(F.col("u"))), rules)
     # Rows that a rule decides, and null URLs, have no alias: their keys name none and are many.
