@@ -103,6 +103,22 @@ def _remove() -> None:
             return
 
 
+_clear: list[Callable[[], None]] = []
+
+
+def claim(clear: Callable[[], None] | None = None) -> None:
+    """Called by a task in a Python worker: caches that another operator left there go.
+
+    Workers are used again, and their memory counts as the executor's. ``clear`` is
+    what empties the caches that this task fills.
+    """
+    for other in [c for c in _clear if c != clear]:
+        other()
+        _clear.remove(other)
+    if clear is not None and clear not in _clear:
+        _clear.append(clear)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,6 +25,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import claim
+
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
 TRAIN_ROWS = 6000
 #: Hashed n-grams and their lengths. More languages than FULL_LANGS share fewer buckets.
@@ -359,6 +361,7 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     single = len(model.langs) < 2
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         # Whole rows pass through as they are; nothing is queued for them in the JVM.
         for b in batches:
             texts = b.column(text_col).to_pylist()

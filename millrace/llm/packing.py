@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import claim
+
 WINDOW = 2048
 #: Chunks whose ids a worker keeps (about 170 MB), and their greatest length.
 CACHE_ENTRIES, CACHE_CHARS = 700_000, 48
@@ -194,6 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim(_ids.cache_clear)
         base = TaskContext.get().partitionId() * TASK_IDS
         packer = SumOfSquares(window)
         held: dict[int, list[tuple]] = {}  # pieces of open windows with their ids

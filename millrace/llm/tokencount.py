@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import claim
+
 #: Pre-tokens whose counts a worker keeps, and their greatest length.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 _MARK = "▁"
@@ -102,6 +104,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     check_model(model_path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim(_counts.cache_clear)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "n_bytes": b["n_bytes"], "n_tokens": [count_tokens(t, model_path) for t in b["text"]]})
 
