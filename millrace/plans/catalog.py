@@ -7,8 +7,9 @@ No result is a model's.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +27,29 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_FIXTURES = Path(__file__).resolve().parents[2] / "tests" / "fixtures"
+# Sample files of the scans, line by line; the queries write them where all executors can read.
+_MANIFEST = (
+    '{"id":"q-1","dataset":"shapes","image_path":"${DATA_ROOT}/images/q-1.jpg","question":"How many circles?","answer":"3"}',
+    '{"id":"q-2","dataset":"shapes","question":"Which colour?","answer":null}',
+    "",
+)
+_REGISTRY = (
+    "experiment_id,name,status,git_commit,backend_commit,manifest_hash,summary_path,notes",
+    "000,smoke,planned,,,,,First run",
+    '007,anchor,done,abc123,def456,0011,out/007.json,"Two parts, one quote"',
+)
+
+
+def _sample(spark: SparkSession, name: str, lines: tuple[str, ...]) -> str:
+    """The path of a folder with one file of these lines, in the shared folder or, on a local master, a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    path = f"{shared.rstrip('/')}/millrace-samples-{uuid.uuid4().hex}/{name}"
+    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    return path
 
 
 def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -276,9 +299,11 @@ _add("keep_all", "SELECT event_id, event_type FROM events")(lambda spark, d: ide
 _add("responses", "SELECT text, CASE WHEN turn % 2 = 0 THEN 'stop' ELSE 'unknown' END AS finish_reason, CAST(NULL AS VARCHAR) AS error FROM conversations")(
     lambda spark, d: responses(spark.read.parquet(f"{d}/conversations.parquet").select("text", F.when(F.col("turn") % 2 == 0, "stop").alias("finish_reason"), F.lit(None).cast("string").alias("error")))
 )
-_add("registry_scan")(lambda spark, d: read_registry(spark, str(_FIXTURES / "registry.csv")))
-_add("manifest_scan")(lambda spark, d: read_manifest(spark, str(_FIXTURES)))
-_add("manifest_examples")(lambda spark, d: examples(read_manifest(spark, str(_FIXTURES))))
-_add("manifest_build")(lambda spark, d: build_manifest(spark))
+_RECORDS = "SELECT * FROM (VALUES ('q-1', 'shapes', '${DATA_ROOT}/images/q-1.jpg', 'How many circles?', '3'), ('q-2', 'shapes', NULL, 'Which colour?', NULL)) v(id, dataset, image_path, question, answer)"
+_RUNS = "SELECT * FROM (VALUES ('000', 'smoke', 'planned', NULL, NULL, NULL, NULL, 'First run'), ('007', 'anchor', 'done', 'abc123', 'def456', '0011', 'out/007.json', 'Two parts, one quote')) v(experiment_id, name, status, git_commit, backend_commit, manifest_hash, summary_path, notes)"
+_add("registry_scan", _RUNS)(lambda spark, d: read_registry(spark, _sample(spark, "registry.csv", _REGISTRY)))
+_add("manifest_scan", _RECORDS)(lambda spark, d: read_manifest(spark, _sample(spark, "manifest.jsonl", _MANIFEST)))
+_add("manifest_examples", f"SELECT dataset, question, image_path, answer FROM ({_RECORDS})")(lambda spark, d: examples(read_manifest(spark, _sample(spark, "manifest.jsonl", _MANIFEST))))
+_add("manifest_build", f"{_RECORDS} WHERE false")(lambda spark, d: build_manifest(spark))
 _add("env_report")(lambda spark, d: env_report(spark))
 _add("git_state")(lambda spark, d: git_state(spark))
