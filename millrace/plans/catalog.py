@@ -18,7 +18,7 @@ from ..operators.align import align_tokens
 from ..operators.chunks import expand_chunk_weights_to_tokens, pool_token_scores_to_chunks
 from ..operators.losses import EPS, dual_track_loss, kl_divergence_from_logits, masked_weighted_kl
 from ..operators.weights import build_visual_anchor_weights, combine_weights, normalize_token_weights
-from ..sources.jsonl import count_keys, non_blank, parse_lines, summarize
+from ..sources.jsonl import count_keys, non_blank, parse_lines, summarize, summarize_jsonl
 from ..sources.metadata import env_report, git_state
 from ..sources.records import build_manifest, count_runs, examples, identity_collate, keep_all, read_manifest, read_registry, responses
 from .experiments import EXPERIMENTS
@@ -307,3 +307,6 @@ _add("manifest_examples", f"SELECT dataset, question, image_path, answer FROM ({
 _add("manifest_build", f"{_RECORDS} WHERE false")(lambda spark, d: build_manifest(spark))
 _add("env_report")(lambda spark, d: env_report(spark))
 _add("git_state")(lambda spark, d: git_state(spark))
+
+_LOG = ('{"dataset":"a","finish_reason":"stop"}', "", '{"dataset":"a","finish_reason":"length","error":"timeout"}', '{"dataset":"b"}', "not-json")
+_add("jsonl_file_summary", "SELECT 4 AS rows, 2 AS errors, 'length=1,stop=1,unknown=1' AS finish_reason, 'a=2,b=1' AS datasets")(lambda spark, d: _flat(summarize_jsonl(spark, _sample(spark, "log.jsonl", _LOG))))
