@@ -5,7 +5,7 @@ import re
 import pytest
 import xxhash
 
-from millrace.llm import simhash
+from millrace.llm import minhash, simhash
 from millrace.llm.components import connected_components
 
 
@@ -109,6 +109,32 @@ def test_drop_reaches_similarity(spark):
     assert dropped <= gone and len(dropped) >= 0.98 * len(gone)
 
 
+def test_near_copies_of_large_groups(spark, monkeypatch):
+    """Sets that are similar to very few of a large group are found, whatever the size of its blocks."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in r.sample(range(len(words)), n):
+            out[at] = f"x{r.randrange(10**6)}"
+        return out
+
+    group = [changed(base, r.randrange(2, 7)) for _ in range(150)]
+    # Near one of the group, or near one that is, and far from most.
+    group += [changed(r.choice(group[:150]), 7) for _ in range(30)] + [changed(base, r.randrange(12, 30)) for _ in range(30)]
+    sets = [{tuple(w[j : j + 5]) for j in range(396)} for w in group]
+    true = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components(true, range(len(sets)))
+    assert len(set(want.values())) > 10
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(group)], "row long, text string")
+    for group_size, block in ((128, 256), (8, 16), (8, 8)):
+        monkeypatch.setattr(minhash, "GROUP", group_size)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        found = {x.row: x.root for x in minhash.near_copies(docs, "row").collect()}
+        assert {i: min(j for j in found if found[j] == found[i]) for i in found} == {i: min(j for j in want if want[j] == want[i]) for i in want}
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random", "strings", "none"])
 def test_connected_components(spark, shape):
     r = random.Random(1)
