@@ -153,5 +153,6 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
         named = roots.withColumnRenamed("row", "__mr_row").join(numbered.select("__mr_row", f"`{id_col}`"), "__mr_row")
         kept = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__mr_row"))
-        kept = keep(materialize(kept, "kept", numbered.count()))
-    return numbered.join(kept, "__mr_row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+        gone = keep(materialize(named.select("__mr_row").join(kept, "__mr_row", "left_anti"), "gone", numbered.count()))
+    # The texts are shuffled only where the rows that go are too many to be broadcast.
+    return numbered.join(minhash.broadcast_if_few(gone), "__mr_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
