@@ -25,17 +25,22 @@ def pool_token_scores_to_chunks(tokens: DataFrame, scores: str = "score", chunk_
     ids = F.greatest(number(tokens, chunk_ids).cast("long"), F.lit(-1).cast("long"))
     value = F.avg("__score") if reduce == "mean" else F.max("__score")
     pooled = tokens.select(*keys, ids.alias("chunk_id"), number(tokens, scores).alias("__score")).groupBy(*keys, "chunk_id").agg(value.alias("__value"), F.count(F.lit(1)).alias("__n"))
+    # A row for each sequence, read again for the width: both uses need the same list, so they share one exchange.
+    lists = pooled.groupBy(*keys).agg(F.collect_list(F.struct("chunk_id", F.col("__value").alias("value"), F.col("__n").alias("n"))).alias("__chunks"))
+    in_list = F.transform("__chunks", lambda x: x["chunk_id"])
     # One row, or one for each call.
-    width = pooled.groupBy(*group_cols).agg(F.max("chunk_id").alias("__last"))
-    batches = pooled.select(*keys).distinct()
-    wide = batches.join(F.broadcast(width), list(group_cols)) if group_cols else batches.crossJoin(F.broadcast(width))
-    chunks = F.when(F.col("__last") >= 0, F.sequence(F.lit(0).cast("long"), F.greatest("__last", F.lit(0).cast("long"))))
-    grid = wide.select(*keys, F.explode(chunks).alias("chunk_id"))
-    dense = grid.join(pooled, [*keys, "chunk_id"], "left")
-    columns = [F.coalesce("__value", F.lit(0.0)).alias(out)]
+    width = lists.groupBy(*[F.col(f"`{c}`").alias(f"__call_{c}") for c in group_cols]).agg(F.max(F.array_max(in_list)).alias("__last"))
+    if group_cols:
+        wide = lists.join(width, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__call_{c}`")) for c in group_cols])
+    else:
+        wide = lists.crossJoin(F.broadcast(width))
+    grid = F.sequence(F.lit(0).cast("long"), F.greatest("__last", F.lit(0).cast("long")))
+    empty = F.transform(F.array_except(grid, in_list), lambda i: F.struct(i.alias("chunk_id"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n")))
+    dense = wide.where(F.col("__last") >= 0).select(*keys, F.explode(F.concat(F.filter("__chunks", lambda x: x["chunk_id"] >= 0), empty)).alias("__chunk"))
+    columns = [F.col("__chunk.value").alias(out)]
     if count:
-        columns.append(F.coalesce("__n", F.lit(0)).cast("long").alias(count))
-    return dense.select(*keys, "chunk_id", *columns)
+        columns.append(F.col("__chunk.n").alias(count))
+    return dense.select(*keys, F.col("__chunk.chunk_id").alias("chunk_id"), *columns)
 
 
 def expand_chunk_weights_to_tokens(tokens: DataFrame, chunks: DataFrame, *, chunk_ids: str = "chunk_id", weight: str = "weight", batch: Sequence[str] = ("batch_id",), out: str = "token_weight", on_out_of_range: str = "zero", strict: bool = False) -> DataFrame:

@@ -305,8 +305,18 @@ _add("registry_scan", _RUNS)(lambda spark, d: read_registry(spark, _sample(spark
 _add("manifest_scan", _RECORDS)(lambda spark, d: read_manifest(spark, _sample(spark, "manifest.jsonl", _MANIFEST)))
 _add("manifest_examples", f"SELECT dataset, question, image_path, answer FROM ({_RECORDS})")(lambda spark, d: examples(read_manifest(spark, _sample(spark, "manifest.jsonl", _MANIFEST))))
 _add("manifest_build", f"{_RECORDS} WHERE false")(lambda spark, d: build_manifest(spark))
-_add("env_report")(lambda spark, d: env_report(spark))
-_add("git_state")(lambda spark, d: git_state(spark))
+# Of the host's own values only their form is the same everywhere.
+_add("env_report", "SELECT true AS python, true AS hostname, true AS platform, true AS torch, true AS cuda_available, true AS spark")(
+    lambda spark, d: env_report(spark).select(
+        F.col("python").rlike(r"^3\.\d+\.").alias("python"), (F.length("hostname") > 0).alias("hostname"), (F.length("platform") > 0).alias("platform"),
+        F.col("torch").rlike(r"^(not_installed|\d+\.)").alias("torch"), F.col("cuda_available").isNotNull().alias("cuda_available"), (F.col("spark") == spark.version).alias("spark"),
+    )
+)
+_add("git_state", "SELECT true AS commit, true AS branch, true AS dirty")(
+    lambda spark, d: git_state(spark).select(
+        F.col("commit").rlike("^([0-9a-f]{40}|unknown)$").alias("commit"), (F.length("branch") > 0).alias("branch"), (F.col("dirty").isNotNull() | F.expr("'unknown' IN (commit, branch)")).alias("dirty")
+    )
+)
 
 _LOG = ('{"dataset":"a","finish_reason":"stop"}', "", '{"dataset":"a","finish_reason":"length","error":"timeout"}', '{"dataset":"b"}', "not-json")
 _add("jsonl_file_summary", "SELECT 4 AS rows, 2 AS errors, 'length=1,stop=1,unknown=1' AS finish_reason, 'a=2,b=1' AS datasets")(lambda spark, d: _flat(summarize_jsonl(spark, _sample(spark, "log.jsonl", _LOG))))

@@ -42,7 +42,9 @@ def chunk_anchor(tokens: DataFrame, *, reduce: str = "mean", topk_ratio: float =
     How chunk scores become chunk weights is our choice: the token rule, applied to
     the chunks that have tokens.
     """
-    pooled = pool_token_scores_to_chunks(tokens, score, "chunk_id", reduce=reduce, count="n_tokens")
+    # Rows of no batch meet no chunk weight; the join would rule them out on one of pooling's two uses only, which then could share nothing.
+    named = tokens.where(F.col("batch_id").isNotNull())
+    pooled = pool_token_scores_to_chunks(named, score, "chunk_id", reduce=reduce, count="n_tokens")
     pooled = pooled.withColumn("has_tokens", (F.col("n_tokens") > 0).cast("double"))
     weighted = build_visual_anchor_weights(pooled, "chunk_score", mask="has_tokens", topk_ratio=topk_ratio, pos="chunk_id", out="weight")
     expanded = expand_chunk_weights_to_tokens(tokens, weighted.select("batch_id", "chunk_id", "weight"), out="vision_anchor")

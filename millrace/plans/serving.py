@@ -1,4 +1,4 @@
-"""Entry points of training, serving and reporting that hold no data operation yet."""
+"""How a model is served and addressed; no data operation."""
 
 from __future__ import annotations
 
@@ -15,31 +15,3 @@ class InferenceClient:
 def build_vllm_command(model_path: str, port: int = 8000) -> list[str]:
     """The command line that serves a model."""
     return ["vllm", "serve", model_path, "--port", str(port)]
-
-
-def run_eval() -> dict[str, str]:
-    return {"status": "not_implemented"}
-
-
-def run_toy_training(max_steps: int = 1) -> dict[str, int]:
-    return {"steps": max_steps}
-
-
-def entrypoint_name(package: str = "millrace") -> str:
-    return f"{package}.{backend_name()}"
-
-
-def backend_name() -> str:
-    return "verl"
-
-
-def describe_hooks() -> list[str]:
-    return ["loss", "rollout", "metrics"]
-
-
-def planned_tables() -> list[str]:
-    return ["benchmark_summary", "anchor_ablation"]
-
-
-def planned_figures() -> list[str]:
-    return ["dual_track_ablation"]

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 from millrace.operators.chunks import expand_chunk_weights_to_tokens, pool_token_scores_to_chunks
 from millrace.operators.weights import build_visual_anchor_weights, combine_weights, normalize_token_weights
+from millrace.plans.experiments import chunk_anchor
 
 
 def frame(spark, rows, schema="batch_id long, pos int, score double, mask double"):
@@ -90,6 +91,24 @@ def test_pool_by_group_has_own_widths(spark):
     df = frame(spark, [(0, 0, 1.0, 2), (1, 0, 1.0, 0)], CHUNKS).selectExpr("*", "batch_id as call")
     got = {(r.call, r.chunk_id) for r in pool_token_scores_to_chunks(df, group_cols=["call"], count="n").collect()}
     assert got == {(0, 0), (0, 1), (0, 2), (1, 0)}
+    unnamed = pool_token_scores_to_chunks(df.selectExpr("batch_id", "score", "chunk_id", "nullif(call, 0) AS call"), group_cols=["call"], count="n")
+    assert {(r.call, r.chunk_id, r.n) for r in unnamed.collect()} == {(None, 0, 0), (None, 1, 0), (None, 2, 1), (1, 0, 1)}
+
+
+def scans(df):
+    """How many scans the plan that ran had; reused exchanges scan nothing."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Scan parquet" in line or "Scan ExistingRDD" in line for line in final.splitlines())
+
+
+def test_pool_reads_once(spark, tmp_path):
+    rows = [(b, i, float(i), i % 5 - 1, [0.0, 1.0], [1.0, 0.0], 1.0) for b in range(40) for i in range(20)]
+    spark.createDataFrame(rows, CHUNKS + ", student array<double>, teacher array<double>, mask double").write.parquet(f"file://{tmp_path}/tokens")
+    tokens = spark.read.parquet(f"file://{tmp_path}/tokens")
+    for how in ("mean", "max"):
+        assert scans(pool_token_scores_to_chunks(tokens, reduce=how)) == 1
+    assert scans(chunk_anchor(tokens)) <= 2
 
 
 def test_expand(spark):
