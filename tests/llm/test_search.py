@@ -311,6 +311,57 @@ def test_top_k_sql(spark, odd_docs):
     assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=3e-6)
 
 
+def exchanged(plan):
+    """The columns of all shuffles in a physical plan."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return exchanged(plan.initialPlan())
+    own = {plan.output().apply(i).name() for i in range(plan.output().size())} if plan.nodeName() == "Exchange" else set()
+    return own.union(*(exchanged(plan.children().apply(i)) for i in range(plan.children().size())))
+
+
+@pytest.mark.usefixtures("small_shards")
+def test_shuffles_grow_with_results_only(spark, monkeypatch):
+    """However many blocks of queries there are, neither the index nor whole queries are shuffled for a search."""
+    real, plans = bm25.materialize, []
+
+    def materialize(df, name, *args, **kwargs):
+        plans.append((name, exchanged(df._jdf.queryExecution().executedPlan())))
+        return real(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(bm25, "materialize", materialize)
+    monkeypatch.setattr(bm25, "TASKS", 3)
+    df = spark.range(200).selectExpr("id as doc_id", "concat('w', id % 7, ' w', id % 11, ' common') as text")
+    found = bm25.top_k(df, df.where("doc_id % 10 = 0"))
+    plans.append(("result", exchanged(found._jdf.queryExecution().executedPlan())))
+    assert not any({"ids", "postings", "tfs", "text", "lengths"} & c for _, c in plans)
+    searches = [c for name, c in plans if name == "found"]
+    assert len(searches) == 7 and set().union(*searches) <= {"q", "id", "score"}
+    got = sorted(((r.query_id, r["rank"], r.doc_id, r.score) for r in found.collect()), key=lambda x: (x[0], x[1]))
+    docs = [(d.doc_id, d.text) for d in df.collect()]
+    assert got == ranking(docs, [d for d in docs if d[0] % 10 == 0])
+
+
+def test_coarse_blocks_agree(monkeypatch):
+    """Queries with many postings take coarse blocks, with the same result."""
+    r = np.random.default_rng(2)
+    docs = [(i, " ".join(f"w{x % 300}" for x in r.zipf(1.3, 40))) for i in range(500)]
+    monkeypatch.setattr(bm25, "DENSE", 5)
+    b = bm25._Builder()
+    for d in docs:
+        b.add(*d)
+    shard = bm25.Shard(b.row(), 40.0)
+    queries = [(i, sorted(set(bm25.terms_of(t))), np.ones(len(set(bm25.terms_of(t))))) for i, t in docs[:20]]
+    found = []
+    for coarse in (1, 3, 8):
+        monkeypatch.setattr(bm25, "COARSE", coarse)
+        best = {}
+        bm25.Shard(b.row(), 40.0).search_all(queries, 5, best)
+        found.append({q: (s.tolist(), i.tolist()) for q, (s, i) in best.items()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 20
+    longest = max(queries, key=lambda q: len(q[1]))
+    assert shard.df[[shard.index[t] for t in longest[1] if shard.column[shard.index[t]] < 0]].sum() > 500
+
+
 def test_blocks_are_pruned():
     """With short queries, blocks whose bound is too low are never scored."""
     b = bm25._Builder()
