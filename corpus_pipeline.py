@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest id stays."""
+    """Of each group of near-duplicates, found by SimHash and MinHash and checked by their shingles, the smallest id stays."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -2,7 +2,8 @@
 
 Each distinct set gets ``BANDS`` keys of ``BAND_ROWS`` minima; sets that share a key
 are compared by their true similarity. A pair at similarity s shares a key with
-probability 1 - (1 - s^5)^16: 0.998 at 0.8, more above.
+probability 1 - (1 - s^5)^16: 0.998 at 0.8, more above. Classes of rows that another
+method holds alike (SimHash) may be given; they are one more band.
 
 There are two rounds. The first takes a few bands and deals keys with more than
 ``GROUP`` sets at random into groups of about that size: many near copies of one
@@ -143,15 +144,27 @@ def _compared(sets: DataFrame, groups: DataFrame, similarity: float, most: int)
     return listed.join(needed, "row").groupBy("g").applyInPandas(compared, "a long, b long")
 
 
-def first_links(sets: DataFrame, distinct: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+def _tables(sets: DataFrame, bands: int, alike: DataFrame | None) -> DataFrame:
+    """``sets`` (row, keys, ...) by band ``t`` and key ``k`` instead of keys; the classes ``alike`` (row, alike) are band BANDS."""
+    keys = F.transform(F.slice("keys", 1, bands), lambda k, t: F.struct(t.alias("t"), k.alias("k")))
+    if alike is not None:
+        sets = sets.join(broadcast_if_few(alike), "row")
+        # Empty sets have no keys, and are like no other.
+        keys = F.when(F.size("keys") > 0, F.concat(keys, F.array(F.struct(F.lit(BANDS).alias("t"), F.col("alike").alias("k")))))
+    others = [c for c in sets.columns if c not in ("keys", "alike")]
+    return sets.select(*others, F.explode(keys).alias("x")).select(*others, "x.t", "x.k")
+
+
+def first_links(sets: DataFrame, distinct: DataFrame, n: int, similarity: float = SIMILARITY, alike: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) among the ``n`` rows of ``distinct`` that the first bands show, not all of them for keys of many sets."""
-    tables = sets.join(distinct, "row", "left_semi").select("row", F.posexplode(F.slice("keys", 1, FIRST_BANDS)).alias("t", "k"))
-    sizes = materialize(tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets", n * FIRST_BANDS)
+    most = n * (FIRST_BANDS + (alike is not None))
+    tables = _tables(sets.select("row", "keys").join(distinct, "row", "left_semi"), FIRST_BANDS, alike)
+    sizes = materialize(tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets", most)
     # Written before it is grouped, so that this join's hot partitions can be split.
-    members = materialize(tables.join(broadcast_if_few(sizes), ["t", "k"]), "members", n * FIRST_BANDS)
+    members = materialize(tables.join(broadcast_if_few(sizes), ["t", "k"]), "members", most)
     dealt = members.withColumn("part", F.pmod(F.xxhash64("row", "t"), F.ceil(F.col("n") / GROUP)))
     groups = dealt.groupBy("t", "k", "part").agg(F.array_sort(F.collect_list("row")).alias("m")).where("size(m) > 1")
-    return _compared(sets, groups, similarity, n * FIRST_BANDS)
+    return _compared(sets, groups, similarity, most)
 
 
 def possible_pairs(own: pd.DataFrame, others: pd.DataFrame, t: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -173,20 +186,20 @@ def possible_pairs(own: pd.DataFrame, others: pd.DataFrame, t: int, similarity:
     return tuple(np.concatenate(found, axis=1))
 
 
-def other_links(sets: DataFrame, distinct: DataFrame, n: int, united: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def other_links(sets: DataFrame, distinct: DataFrame, n: int, united: DataFrame, similarity: float = SIMILARITY, alike: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) that join the similar ones among the ``n`` rows of ``distinct`` that share a band.
 
     Left out are pairs that have one root in ``united`` (v, root).
     """
-    most = n * BANDS
+    most = n * (BANDS + (alike is not None))
     roots = broadcast_if_few(united).select(F.col("v").alias("row"), "root")
     rooted = sets.select("row", "keys").join(distinct, "row", "left_semi").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    tables = rooted.select("row", "root", F.posexplode("keys").alias("t", "k"))
+    tables = _tables(rooted, BANDS, alike)
     # Of each key, the component with the most sets is home; sets of others meet all of the key.
     counts = tables.groupBy("t", "k", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = counts.groupBy("t", "k").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("home"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     # The first round compared all sets of small keys.
-    open_ = open_.where((F.col("t") >= FIRST_BANDS) | (F.col("size") > GROUP))
+    open_ = open_.where(F.col("t").between(FIRST_BANDS, BANDS - 1) | (F.col("size") > GROUP))
     sizes = materialize(open_.select("t", "k", "size", (F.col("size") - F.col("home.c")).alias("away"), F.col("home.root").alias("home")), "buckets", most)
     members = materialize(tables.join(broadcast_if_few(sizes), ["t", "k"]), "members", most)
     blocks = lambda of: F.when(F.col("size") <= BLOCK, 1).otherwise(F.ceil(F.col(of) / BLOCK)).cast("int")
@@ -209,10 +222,11 @@ def other_links(sets: DataFrame, distinct: DataFrame, n: int, united: DataFrame,
     return _compared(sets, groups, similarity, most)
 
 
-def near_copies(numbered: DataFrame, row_col: str, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(numbered: DataFrame, row_col: str, *, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, alike: DataFrame | None = None) -> DataFrame:
     """(row, root) for every row: rows with one root are near-duplicates, linked one by one.
 
-    Texts without words are all equal. ``row_col`` has a number for each row.
+    Texts without words are all equal. ``row_col`` has a number for each row. Rows of
+    one class in ``alike`` (row, alike: long) are candidates like those that share a band.
     """
     with scratch() as keep:
         every = materialize(shingle_sets(numbered, row_col, text_col=text_col, shingle=shingle), "shingles")
@@ -220,8 +234,8 @@ def near_copies(numbered: DataFrame, row_col: str, *, text_col: str = "text", sh
         same = materialize(every.groupBy("same").agg(F.min("row").alias("first")), "same", rows)
         n = same.count()
         distinct = same.select(F.col("first").alias("row"))
-        united = connected_components(first_links(every, distinct, n, similarity), n * FIRST_BANDS)
-        edges = other_links(every, distinct, n, united, similarity).union(united.select(F.col("v").alias("a"), F.col("root").alias("b")))
-        united = connected_components(edges, n * BANDS)
+        united = connected_components(first_links(every, distinct, n, similarity, alike), n * (FIRST_BANDS + 1))
+        edges = other_links(every, distinct, n, united, similarity, alike).union(united.select(F.col("v").alias("a"), F.col("root").alias("b")))
+        united = connected_components(edges, n * (BANDS + 1))
         roots = same.join(united.select(F.col("v").alias("first"), "root"), "first", "left").select("same", F.coalesce("root", "first").alias("root"))
         return keep(materialize(every.select("row", "same").join(materialize(roots, "roots", n), "same").select("row", "root"), "row_roots", rows))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import minhash
-from .common import materialize, scratch
+from .common import claim, materialize, scratch
 from .components import connected_components
 
 RADIUS, BITS = 2, 64
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, keep: list[str], *, text_col: str = "text", sh
     fields = ", ".join(f"`{c}` string" for c in keep)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         for b in batches:
             fp = np.array([simhash(t.encode("utf-8", "surrogatepass") if t else b"", shingle) for t in b.pop("__mr_text")], dtype=np.uint64)
             yield b.assign(__mr_fp=fp.astype(np.int64))
@@ -113,6 +114,23 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return near.union(stars).distinct()
 
 
+def _rooted(fps: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``fps`` (fp, ...) with ``root``: the same for all fingerprints that links connect."""
+    # A fingerprint has SMALL_BUCKET links a table at most, and those of its star.
+    labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
+    return fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def classes(rows: DataFrame, row_col: str, *, text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(row, alike) for every row: one number for rows whose fingerprints links connect. ``row_col`` has a number for each row."""
+    with scratch() as keep:
+        found = materialize(fingerprints(rows, [row_col], text_col=text_col, shingle=shingle), "fingerprints")
+        fps = materialize(found.select("fp").distinct(), "distinct", found.count())
+        n = fps.count()
+        named = materialize(_rooted(fps, n), "named", n)
+        return keep(materialize(found.join(named, "fp").select(F.col(row_col).alias("row"), F.col("root").alias("alike")), "alike", found.count()))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for every row.
 
@@ -126,10 +144,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with scratch() as keep:
         fps = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct", rows.count())
         n = fps.count()  # like the one before, from the files' footers
-        # A fingerprint has SMALL_BUCKET links a table at most, and those of its star.
-        labels = connected_components(links(fps, n), n * (len(covering_masks()) * SMALL_BUCKET + BITS + 1))
-        named = fps.join(labels.select(F.col("v").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-        named = materialize(named, "named", n)
+        named = materialize(_rooted(fps, n), "named", n)
         least = named.groupBy("root").agg(F.min("least").alias("component_id"))
         of = materialize(least, "least", n)
         classes = keep(materialize(named.join(of, "root").select("fp", "component_id"), "classes", n))
@@ -140,16 +155,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group one row stays.
 
-    Texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more
-    are linked. That is far beyond a fingerprint's reach of 2 bits: candidates come
-    from MinHash bands. The row that stays has the group's smallest id, or is any one
+    Candidates come from SimHash: texts that links of fingerprints within the radius
+    connect. An exact check follows: those whose sets of shingles have a Jaccard
+    similarity of ``similarity`` or more are linked. That similarity is far beyond a
+    fingerprint's reach of 2 bits, so MinHash bands add the candidates that differ in
+    more. The row that stays has the group's smallest id, or is any one
     if the group has no ids. Ids decide nothing else: rows of different groups stay,
     whether they have one id in common or none at all.
     """
     # A written number tells rows apart; ids may be null or repeated.
     numbered = materialize(docs.withColumn("__mr_row", F.monotonically_increasing_id()), "numbered")
     with scratch() as keep:
-        roots = minhash.near_copies(numbered, "__mr_row", text_col=text_col, shingle=shingle, similarity=similarity)
+        alike = classes(numbered, "__mr_row", text_col=text_col)
+        roots = minhash.near_copies(numbered, "__mr_row", text_col=text_col, shingle=shingle, similarity=similarity, alike=alike)
         first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mr_row").alias("row")))
         named = roots.withColumnRenamed("row", "__mr_row").join(numbered.select("__mr_row", f"`{id_col}`"), "__mr_row")
         kept = named.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("__mr_row"))

@@ -4,6 +4,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import minhash, simhash
 from millrace.llm.components import connected_components
@@ -109,6 +110,36 @@ def test_drop_reaches_similarity(spark):
     assert dropped <= gone and len(dropped) >= 0.98 * len(gone)
 
 
+@pytest.mark.parametrize("group", [128, 4])
+def test_drop_goes_through_simhash(spark, monkeypatch, group):
+    """Without any MinHash key in common, texts within 2 bits are still found, and checked by their shingles."""
+    r = random.Random(11)
+    real = minhash.shingle_sets
+
+    def no_keys_in_common(*args, **kwargs):
+        sets = real(*args, **kwargs)
+        return sets.withColumn("keys", F.transform("keys", lambda k, t: F.xxhash64("row", t)))
+
+    monkeypatch.setattr(minhash, "shingle_sets", no_keys_in_common)
+    monkeypatch.setattr(minhash, "GROUP", group)
+    monkeypatch.setattr(minhash, "BLOCK", 2 * group)
+    texts = []
+    for i in range(12):
+        words = [f"w{r.randrange(10**6)}" for _ in range(500)]
+        texts += [" ".join(words[:-1] + [f"end{j}"]) for j in range(30 if i == 0 else 2)]
+    # One shingle makes the fingerprint, but the sets differ.
+    texts += [" ".join(["spam"] * 900 + [f"v{r.randrange(10**6)}" for _ in range(30)]) for _ in range(6)]
+    texts += [None, "", "one"]
+    fps = [fingerprint(t) for t in texts]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    true = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) >= len(true) + 15 and len(true) > 300
+    want = set(components(true, range(len(texts))).values())
+    kept = {k.doc_id for k in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 def test_near_copies_of_large_groups(spark, monkeypatch):
     """Sets that are similar to very few of a large group are found, whatever the size of its blocks."""
     r = random.Random(8)
