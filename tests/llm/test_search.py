@@ -1,6 +1,7 @@
 """Embeddings, language identification, text search and the pipeline."""
 
 import collections
+import gc
 import math
 import zlib
 
@@ -389,3 +390,15 @@ def test_pipeline(spark, odd_docs, no_docs):
 def test_pipeline_of_files(spark, tmp_path):
     labelled(spark).selectExpr("*", "concat('s', doc_id % 3) as source", "cast(length(text) as long) as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@pytest.mark.parametrize("stage", ["language_id", "simhash_near_dedup", "mixing", "packing"])
+def test_a_pipeline_stage_begins_with_the_heap_given_back(spark, odd_docs, monkeypatch, stage):
+    garbage = spark.sparkContext._jvm.java.lang.ref.WeakReference("held by nothing else")
+    # What the stage itself does is left out: the heap is collected as it begins.
+    begun = dict(corpus_pipeline.STAGES)[stage]
+    for module, name in ((corpus_pipeline.langid, "keep_identified"), (corpus_pipeline.simhash, "drop_near_duplicates"), (corpus_pipeline.mixing, "mixed_documents"), (corpus_pipeline.packing, "pack")):
+        monkeypatch.setattr(module, name, lambda docs, *_: docs)
+    assert garbage.get() is not None
+    assert begun(spark, odd_docs, "") is odd_docs
+    assert garbage.get() is None
